@@ -49,7 +49,8 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_bytes: int =
     table = windows(items, n)
     known = table.agg(F.count("*").alias("n"), F.sum(F.octet_length("window") + F.size("item_ids") * 8).alias("b"), F.collect_set("size").alias("sizes")).first()
     sizes = sorted(known["sizes"])  # at most n numbers
-    if (known["b"] or 0) + known["n"] * ENTRY_BYTES <= broadcast_bytes:
+    small = (known["b"] or 0) + known["n"] * ENTRY_BYTES <= broadcast_bytes
+    if small:
         table = F.broadcast(table)
     found = None
     split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(low(F.col("text"))).alias("_w"))
@@ -59,6 +60,10 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_bytes: int =
         met = each.join(table.where(F.col("size") == size), "key")
         # Equality by two containments: as a plain equality it would become a join key, made of every window.
         same = F.array_join(F.slice("_w", F.col("at") + 1, F.lit(size)), " ")
+        if not small:
+            # A shuffled row carries its window, never its document.
+            each, same = each.select("doc_id", "text_hash", "at", "key", same.alias("_same")), F.col("_same")
+            met = each.join(table.where(F.col("size") == size), "key")
         met = met.where(F.contains(same, F.col("window")) & F.contains(F.col("window"), same)).select("doc_id", "text_hash", "at", "size", "item_ids")
         found = met if found is None else found.unionByName(met)
     return found
