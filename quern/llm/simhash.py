@@ -159,7 +159,7 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
             yield found([(*held[:2], np.concatenate(held[2]))])
 
     n = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = keyed.repartition(n, "mask", "key").sortWithinPartitions("mask", "key")
+    placed = keyed.select("mask", "key", "fingerprint").repartition(n, "mask", "key").sortWithinPartitions("mask", "key")
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
