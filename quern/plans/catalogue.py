@@ -1,10 +1,420 @@
-"""The catalogue of queries."""
+"""The catalogue of queries, each an operator on the driver's tables, with its DuckDB twin where SQL can express it."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quern.config import FORMAT_VERSION
+from quern.functions import codec
+from quern.functions import tokens as tk
+from quern.operators import average, batch, epoch, metrics, pack, split, store, verify
+from quern.plans.oracles import ORACLES
+from quern.sources import listing, read_table
+
+SHARDS, SEED0, SEED1 = 4, 1234, 5678
+CONTEXT, LEAST = 2048, 64
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, n of the documents with byte tokens."""
+    return tk.with_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"))[0]
+
+
+def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n and ord of the documents, without their texts."""
+    return listing.with_ordinal(documents(spark, sf_dir).select("doc_id", "n"), "doc_id")
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The span index of the corpus in byte tokens: doc_id, shard, span, token_count, cbytes."""
+    return store.assign(lengths(spark, sf_dir), SHARDS).select("doc_id", "shard", "span", F.col("n").alias("token_count"), F.col("n").alias("cbytes"))
+
+
+def epochs(spark: SparkSession, n: int = 1, first: int = SEED1) -> DataFrame:
+    return spark.range(first, first + n).select(F.col("id").alias("epoch"))
+
+
+def planned(spark: SparkSession, sf_dir: str, b: int = 1, ranks: int = 1, n_epochs: int = 1) -> DataFrame:
+    """Segments of the interleaved corpus."""
+    ordered = epoch.interleaved(index(spark, sf_dir), SEED0, epochs(spark, n_epochs), ranks)
+    return pack.segments(ordered, b, CONTEXT, LEAST)
+
+
+def planned_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments, one lane, of all documents as one shard in seeded order; span is the doc_id."""
+    key = epoch.shuffle_key(F.lit(SEED0), F.lit(SEED1), F.col("doc_id"))
+    ordered = documents(spark, sf_dir).select(F.lit(0).alias("epoch"), F.lit(0).alias("rank"), F.concat_ws("|", key, F.lpad(F.col("doc_id").cast("string"), 20, "0")).alias("vt"), F.lit(0).alias("shard"), F.col("doc_id").alias("span"), F.col("n").alias("token_count"))
+    return pack.segments(ordered, 1, CONTEXT, LEAST)
+
+
+def tokens_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shard, span, tokens for planned_by_hash()."""
+    return documents(spark, sf_dir).select(F.lit(0).alias("shard"), F.col("doc_id").alias("span"), tk.byte_tokens(F.col("text")).alias("tokens"))
+
+
+@query
+def q01_scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", tk.byte_count(F.col("text")).alias("n_bytes"), F.char_length("text").cast("long").alias("n_code_points"))
+
+
+@query
+def q02_file_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = read_table(spark, sf_dir, "documents").select(F.concat(F.lit("data/"), "source").alias("file")).distinct().where(F.col("file").startswith("data/"))
+    nodes = spark.range(6).select(F.col("id").alias("node"), F.col("id").alias("rank_start"), F.lit(1).alias("rank_count"))
+    found = listing.file_slice(files, nodes, 6).groupBy("node").agg(F.count("*").alias("n_files"), F.min("file").alias("first_file"), F.max("file").alias("last_file"))
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("n_files", F.lit(0)).alias("n_files"), "first_file", "last_file")
+
+
+@query
+def q03_rank_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("hostname"), (F.col("n_regionkey") + 1).alias("rank_count"), F.col("n_nationkey").alias("ord"))
+    return listing.rank_starts(hosts).select("hostname", F.col("rank_count").cast("long").alias("rank_count"), "rank_start", "world")
+
+
+@query
+def q04_chunk4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths(spark, sf_dir).groupBy(listing.chunk_of(F.col("ord")).alias("chunk")).agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_bytes"), F.min("doc_id").alias("first_doc"))
+
+
+@query
+def q05_strided_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths(spark, sf_dir).groupBy(listing.strided(F.col("ord"), 8).alias("shard")).agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
+
+
+@query
+def q06_contiguous_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lengths(spark, sf_dir)
+    total = documents(spark, sf_dir).count()
+    return docs.groupBy(listing.contiguous(F.col("ord"), total, 8).alias("shard")).agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
+
+
+@query
+def q07_byte_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(tk.byte_count(F.col("text"))).alias("n_tokens"), F.max(tk.byte_count(F.col("text"))).alias("longest"))
+
+
+@query
+def q08_byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = read_table(spark, sf_dir, "documents").select("doc_id", tk.byte_tokens(F.col("text")).alias("t"))
+    return made.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("sum_ids"), F.md5(F.array_join(F.transform("t", lambda x: x.cast("string")), ",")).alias("ids_md5"))
+
+
+@query
+def q09_regex_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = read_table(spark, sf_dir, "documents").select("doc_id", tk.regex_pieces(F.col("text")).alias("p"))
+    return pieces.select("doc_id", F.size("p").cast("long").alias("n_tokens"), F.md5(F.array_join("p", "\u0001")).alias("pieces_md5"))
+
+
+@query
+def q10_token_ids_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = tk.padded_vocab(50_280)
+    pieces = read_table(spark, sf_dir, "documents").select("lang", F.explode(tk.regex_pieces(F.col("text"))).alias("p"))
+    # Every different piece is hashed once, after its copies are counted map-side.
+    ids = pieces.groupBy("lang", "p").agg(F.count("*").alias("c")).select("lang", "c", tk.hashed_id(F.col("p"), vocab).cast("long").alias("id"))
+    return ids.groupBy("lang").agg(F.sum("c").alias("n_tokens"), F.min("id").alias("least_id"), F.max("id").alias("greatest_id"), F.sum(F.col("id") * F.col("c")).alias("sum_ids"))
+
+
+@query
+def q11_holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.holdout(documents(spark, sf_dir), 10).select("doc_id", "n", "held_out")
+
+
+@query
+def q12_holdout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.summary(split.holdout(documents(spark, sf_dir), 10))
+
+
+@query
+def q13_holdout_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("lane", F.pmod("doc_id", F.lit(4)))
+    return split.holdout(docs, 10, lane="lane").groupBy("lane").agg(F.count("*").alias("n_docs"), F.count_if("held_out").alias("n_held"), F.sum(F.when(F.col("held_out"), F.col("n"))).alias("held_tokens"))
+
+
+@query
+def q14_shard_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).select("doc_id", "shard", "span")
+
+
+@query
+def q15_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.with_offsets(index(spark, sf_dir)).select("doc_id", "shard", "span", "cbytes", "offset")
+
+
+@query
+def q16_span_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = store.with_offsets(index(spark, sf_dir))
+    return store.with_sizes(spans, spans.groupBy("shard").agg(F.sum("cbytes").alias("data_bytes"))).select("shard", "span", "offset", "size")
+
+
+@query
+def q17_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.rotate(index(spark, sf_dir), 100_000).select("shard", "span", "file", "offset")
+
+
+def footer_rows(spans: DataFrame) -> DataFrame:
+    return store.footers(spans, store.md5_bits(F.concat_ws("|", "offset", "token_count")), store.md5_bits(F.col("data")), 1)
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The span index with offsets and each span's data."""
+    return store.with_offsets(index(spark, sf_dir)).join(documents(spark, sf_dir).select("doc_id", F.col("text").alias("data")), "doc_id")
+
+
+@query
+def q18_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = index(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n_spans"), F.sum("token_count").alias("n_tokens"), F.sum("cbytes").alias("data_bytes"))
+    found = store.read_manifest(json.dumps(store.manifest(made.collect(), 1)), 1)
+    return store.manifest_table(spark, found).join(made, "shard").select("shard", "data_file", "index_file", "n_spans", "n_tokens", "data_bytes", F.lit(found["total_tokens"]).cast("long").alias("total_tokens"))
+
+
+@query
+def q19_footer_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return footer_rows(stored(spark, sf_dir)).select("shard", "n_spans", "data_bytes", "index_hash", "data_hash", "version", "token_bytes")
+
+
+def verified(spans: DataFrame, claimed: DataFrame) -> DataFrame:
+    found = verify.violations(spans, claimed, store.md5_bits(F.concat_ws("|", "offset", "token_count")), store.md5_bits(F.col("data")), 1)
+    rules = claimed.sparkSession.createDataFrame([(r,) for r in verify.RULES], "rule string")
+    counts = found.groupBy("rule").agg(F.count("*").alias("n_shards"), F.sum("shard").alias("sum_shards"))
+    return rules.join(counts, "rule", "left").select("rule", F.coalesce("n_shards", F.lit(0)).alias("n_shards"), F.coalesce("sum_shards", F.lit(0)).alias("sum_shards"))
+
+
+@query
+def q20_verify_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = stored(spark, sf_dir)
+    return verified(spans, footer_rows(spans))
+
+
+@query
+def q21_verify_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard 0's footer has another version; 1 has an offset that falls; 2 has other data in one span; 3 has lost one."""
+    spans = stored(spark, sf_dir)
+    claimed = footer_rows(spans).withColumn("version", F.when(F.col("shard") == 0, FORMAT_VERSION - 1).otherwise(F.col("version")))
+    broken = spans.withColumns(
+        {
+            "offset": F.when((F.col("shard") == 1) & (F.col("span") == 2), F.lit(0).cast("long")).otherwise(F.col("offset")),
+            "data": F.when((F.col("shard") == 2) & (F.col("span") == 1), F.concat("data", F.lit("?"))).otherwise(F.col("data")),
+        }
+    ).where("not (shard = 3 and span = 3)")
+    return verified(broken, claimed)
+
+
+@query
+def q22_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epoch.permutation(index(spark, sf_dir), SEED0, epochs(spark)).select("shard", "span", "pos")
+
+
+@query
+def q23_rank_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans per shard and rank for 7 ranks, and for a shard of 5 spans on 4 ranks, the last of which gets none."""
+    made = epoch.rank_slice(epoch.permutation(index(spark, sf_dir), SEED0, epochs(spark)), 7)
+    few = spark.range(5).select(F.lit(99).alias("shard"), F.col("id").alias("span"), F.lit(0).alias("token_count"))
+    small = epoch.rank_slice(epoch.permutation(few, SEED0, epochs(spark)), 4)
+    both = made.select("shard", "rank").union(small.select("shard", "rank"))
+    return both.groupBy("shard", "rank").agg(F.count("*").alias("n_spans"))
+
+
+@query
+def q24_shard_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epoch.shard_order(index(spark, sf_dir), SEED0, epochs(spark)).select("place", "shard", "nth")
+
+
+@query
+def q25_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = epoch.interleaved(index(spark, sf_dir), SEED0, epochs(spark), 2)
+    return made.select("rank", "shard", "span", (F.row_number().over(W.partitionBy("epoch", "rank").orderBy("vt")) - 1).cast("long").alias("seq"))
+
+
+@query
+def q26_pack_b1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planned_by_hash(spark, sf_dir).select("step", "is_continuation", "seg", F.col("span").alias("doc_id"), "read_off", "write_off", "write_count")
+
+
+@query
+def q27_steps_b1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = planned_by_hash(spark, sf_dir)
+    return plan.groupBy("step").agg(F.count("*").alias("n_segments"), F.sum("write_count").alias("n_tokens"), F.max(F.col("write_off") + F.col("write_count")).cast("long").alias("num_tokens"))
+
+
+@query
+def q28_pack_bn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planned(spark, sf_dir, b=4).drop("epoch", "rank")
+
+
+@query
+def q29_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = batch.assemble(planned_by_hash(spark, sf_dir), tokens_of(spark, sf_dir))
+    total = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t)
+    ids = F.md5(F.array_join(F.transform("tokens", lambda t: t.cast("string")), ","))
+    return made.select("step", "row", "is_continuation", "num_tokens", total.alias("sum_tokens"), ids.alias("tokens_md5"))
+
+
+@query
+def q29b_batches_bn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = store.assign(listing.with_ordinal(documents(spark, sf_dir), "doc_id"), SHARDS).select("shard", "span", tk.byte_tokens(F.col("text")).alias("tokens"))
+    made = batch.assemble(planned(spark, sf_dir, b=4), spans)
+    return made.groupBy("step").agg(F.count("*").alias("n_rows"), F.max("num_tokens").alias("num_tokens"), F.sum(F.size(F.filter("tokens", lambda t: t != -1))).alias("n_tokens"))
+
+
+@query
+def q30_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = pack.resumed(planned_by_hash(spark, sf_dir), 100)
+    return plan.select("step", "is_continuation", "seg", F.col("span").alias("doc_id"), "read_off", "write_off", "write_count")
+
+
+@query
+def q31_multi_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = planned(spark, sf_dir, b=1, ranks=2, n_epochs=3)
+    return plan.groupBy("epoch", "rank").agg((F.max("step") + 1).cast("long").alias("total_steps"), F.sum("write_count").alias("n_tokens"), F.count("*").alias("n_segments"))
+
+
+@query
+def q32_pad_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = planned_by_hash(spark, sf_dir)
+    per_step = plan.groupBy("step").agg(F.sum("write_count").alias("t"), F.max(F.col("write_off") + F.col("write_count")).alias("w"))
+    emitted = per_step.agg(F.sum("t").alias("emitted"), F.sum("w").cast("long").alias("places"))
+    total = documents(spark, sf_dir).agg(F.sum("n").alias("tokens"))
+    return emitted.crossJoin(total).select("emitted", (F.col("places") - F.col("emitted")).alias("padding"), (F.col("tokens") - F.col("emitted")).alias("dropped"), F.round(F.col("emitted") / F.col("places"), 6).alias("fill"))
+
+
+@query
+def q33_shift_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    viewed = metrics.training_views(batch.assemble(planned_by_hash(spark, sf_dir), tokens_of(spark, sf_dir)))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, t: a + t)
+    return viewed.select("step", "n_target1", "n_target2", total("inputs").alias("sum_inputs"), total("target1").alias("sum_target1"), total("target2").alias("sum_target2"))
+
+
+@query
+def q34_train_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as predictions (toxic) and targets (quality), documents as steps of four ranks."""
+    rows = read_table(spark, sf_dir, "labels").join(documents(spark, sf_dir).select("doc_id", "n"), "doc_id")
+    target = F.when(F.col("n") % 5 == 0, -1).otherwise(F.col("quality"))
+    by_rank = rows.select(F.floor(F.col("doc_id") / 100).cast("long").alias("step"), (F.col("doc_id") % 4).alias("rank"), target.alias("t"), "toxic", "n")
+    by_rank = by_rank.groupBy("step", "rank").agg(F.avg(F.col("n").cast("double")).alias("loss"), F.count_if(F.col("t") != -1).alias("tokens"), F.sum(metrics.correct(F.col("toxic"), F.col("t"))).alias("correct"))
+    return metrics.running_totals(metrics.all_reduce(by_rank, "step")).select("step", F.round("loss", 6).alias("loss"), "tokens", "correct", F.round("accuracy", 6).alias("accuracy"), "tokens_so_far")
+
+
+@query
+def q35_masked_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "labels").join(documents(spark, sf_dir).select("doc_id", "n", (F.col("doc_id") % 10).alias("step")), "doc_id")
+    target = F.when(F.col("n") % 5 == 0, -1).otherwise(F.col("quality"))
+    first, second = metrics.masked_loss(-F.ln(F.col("n") + 1.0), target), metrics.masked_loss(-F.ln(F.col("n") + 2.0), target)
+    return rows.groupBy("step").agg(F.round(metrics.two_heads(first, second), 6).alias("loss"))
+
+
+@query
+def q36_lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1601).select(F.col("id").alias("step"), F.round(tk.learning_rate(F.col("id"), 1e-2, 100, 320, 1600), 12).alias("lr"))
+
+
+def turn_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("length"))
+
+
+@query
+def q37_cu_seqlens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.cu_seqlens(turn_lengths(spark, sf_dir), "conv_id", "turn", "length").select("conv_id", "turn", "start", "end", "longest")
+
+
+@query
+def q38_unpad_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = metrics.flat_indices(turn_lengths(spark, sf_dir), "conv_id", "turn", "length", 32768)
+    return flat.groupBy("conv_id", "turn").agg(F.min("flat_index").alias("first"), F.max("flat_index").alias("last"), F.sum("flat_index").alias("total"))
+
+
+@query
+def q39_checkpoint_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents 1 to 1200 that are multiples of 100 as checkpoints."""
+    made = read_table(spark, sf_dir, "documents").where("doc_id > 0 and doc_id <= 1200 and doc_id % 100 = 0").select(F.concat(F.lit("step_"), "doc_id", F.lit(".pth")).alias("name"), F.lit(0).alias("epoch"), F.col("doc_id").alias("step"))
+    return metrics.to_delete(made, 1).select(F.lit("name").alias("by"), "name").union(metrics.to_delete(made, 1, by_name=False).select(F.lit("number").alias("by"), "name"))
+
+
+@query
+def q40_update_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return average.mean_update(read_table(spark, sf_dir, "embeddings"), "label", column="embedding").select("label", "idx", F.round("value", 6).alias("value"))
+
+
+@query
+def q41_diloco_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    updates = read_table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("name"), F.col("vec_id").alias("seq"), F.posexplode("embedding").alias("idx", "value"))
+    return average.diloco(updates, 4).select("name", "idx", "seq", F.round("value", 6).alias("value"))
+
+
+@query
+def q42_rms_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = read_table(spark, sf_dir, "embeddings").select("vec_id", tk.rms_norm(F.col("embedding")).alias("v"))
+    return made.select("vec_id", F.posexplode("v").alias("idx", "x")).select("vec_id", "idx", F.round("x", 6).alias("value"))
+
+
+@query
+def q43_byte_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes of the documents' code points, which have up to three bytes."""
+    points = read_table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", ""), lambda c: F.ascii(c)).alias("t"))
+    return points.select("doc_id", *[p.alias(f"plane{j}") for j, p in enumerate(codec.plane_sums(F.col("t")))])
+
+
+@query
+def q44_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = documents(spark, sf_dir).select("doc_id", codec.words_binary(tk.byte_tokens(F.col("text"))).alias("raw"))
+    framed = raw.withColumns({"frame": codec.compress_udf(4)("raw"), "city": codec.city_udf()("raw")})
+    back = framed.withColumn("back", codec.decompress_udf(4)("frame", F.octet_length("raw")))
+    return back.select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), (F.octet_length("frame") > 0).alias("framed"), (F.col("back") == F.col("raw")).alias("same"), "city")
+
+
+@query
+def q45_split_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id")
+    flags = split.holdout(documents(spark, sf_dir), 10)
+    train, held = flags.where("not held_out").select("doc_id"), flags.where("held_out").select("doc_id")
+    counts = [("corpus", docs), ("train", train), ("holdout", held), ("both", train.intersect(held)), ("lost", docs.exceptAll(train.unionAll(held))), ("invented", train.unionAll(held).exceptAll(docs))]
+    out = None
+    for name, rows in counts:
+        one = rows.agg(F.lit(name).alias("what"), F.count("*").alias("n")).select("what", "n")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query
+def q46_worker_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return average.registry(read_table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_id", "event_type").withColumnRenamed("event_id", "last_event")
+
+
+@query
+def q47_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are counted, not errors: turns with some made so."""
+    turns = read_table(spark, sf_dir, "conversations").select(F.when(F.col("turn") == 3, F.lit(None)).when(F.col("turn") == 4, F.lit("")).otherwise(F.col("text")).alias("text"))
+    kept, rejected = tk.with_tokens(turns)
+    return rejected.crossJoin(kept.agg(F.count("*").alias("n_kept"), F.sum("n").alias("n_tokens")))
+
+
+@query
+def q48_compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = index(spark, sf_dir).withColumn("cbytes", F.col("cbytes") * 4)
+    return metrics.compression_ratio(spans, "shard").select("shard", F.round("ratio", 6).alias("ratio"))
+
+
+@query
+def q49_idempotent_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = read_table(spark, sf_dir, "documents").select(F.concat(F.lit("data/"), "source").alias("file")).distinct()
+    return listing.new_files(files, files.where("file < 'data/src15'"))
+
+
+@query
+def q50_running_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line quantities as tokens of an order's steps."""
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("tokens"))
+    steps = lines.groupBy("l_orderkey", "l_linenumber").agg(F.sum("tokens").alias("tokens"))
+    return metrics.running_totals(steps, "l_orderkey", order="l_linenumber")
