@@ -43,6 +43,7 @@ def test_loader_reads_all(spark, corpus):
         seen += sum(t != -1 for r in rows for t in r)
         steps.append(step)
         first[step] = rows
+    total = loader.total_steps
     assert steps == list(range(total)) and loader.get_micro_batch()[0] is None
     assert seen == store.read_spans(spark, corpus).agg(F.sum("token_count")).first()[0]
     loader.begin_epoch(EpochConfig(1, 2, micro_batch_size=4, context_size=512, min_data_length=0, start_step=total - 2))
