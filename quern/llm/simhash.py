@@ -6,12 +6,15 @@ bits apart, bit i gets a vector v(i) of radius + 1 bits, and for each of the
 2^(radius + 1) - 1 nonzero vectors m there is a table that compares the bits with
 v(i).m odd only. Where two fingerprints differ in at most `radius` bits, some m is
 orthogonal to the vectors of all those bits, so in that table the two collide: no
-pair is missed. Members of a bucket are then compared in all their bits.
+pair is missed. Beyond radius 4 the bits are covered three times two thirds of them:
+of r differing bits one of the three parts has at most 2 r / 3, for which there are
+fewer tables. Members of a bucket are then compared in all their bits.
 
 Equal fingerprints are joined first, so a bucket holds different fingerprints
 only, and only the links that span a bucket leave it: never all of its pairs. A
 large bucket is compared block by block, in memory that doesn't depend on the
-number of its pairs.
+number of its pairs. With `agree`, links may reach further than the radius, and
+count where the documents' longer fingerprints, of 256 bits, agree too.
 
 Null and empty texts have fingerprint zero, which links as any other does. Rows
 with a null doc_id get a component but are never its representative unless all
@@ -31,8 +34,20 @@ from quern.llm._common import lookup, materialize
 BLOCK = 512
 
 
-def fingerprint_texts(texts: list[str | None], size: int):
-    """The fingerprints of some texts, an unsigned 64-bit number each."""
+def mixed(hashes, k: int):
+    """Other 64 bits of each hash (the finaliser of SplitMix64); the hash itself for k = 0."""
+    import numpy as np
+
+    if not k:
+        return hashes
+    h = hashes + np.uint64((0x9E3779B97F4A7C15 * k) & ((1 << 64) - 1))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint_texts(texts: list[str | None], size: int, words64: int = 1):
+    """The fingerprints of some texts: rows of `words64` unsigned 64-bit numbers, of which the first is the fingerprint proper."""
     import numpy as np
     import xxhash
 
@@ -40,7 +55,7 @@ def fingerprint_texts(texts: list[str | None], size: int):
     spaces = bytes.maketrans(b"\t\n\v\f\r", b"     ")
     table = bytes(spaces[lower[i]] for i in range(256))
     hash64 = xxhash.xxh64_intdigest
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros((len(texts), words64), np.uint64)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for at, text in enumerate(texts):
         words = (text or "").encode("utf-8", "surrogatepass").translate(table).split(b" ")
@@ -48,7 +63,7 @@ def fingerprint_texts(texts: list[str | None], size: int):
         n = len(words)
         if not n:
             continue
-        total, counts = max(n - size + 1, 1), np.zeros(64, np.int64)
+        total, counts = max(n - size + 1, 1), np.zeros((words64, 64), np.int64)
         for first in range(0, total, 65536):
             if n < size:
                 hashes = [hash64(b" ".join(words), 42)]
@@ -61,37 +76,49 @@ def fingerprint_texts(texts: list[str | None], size: int):
                     ends.append(end)
                 starts = [0, *[e + 1 for e in ends[: last - first - 1]]]
                 hashes = [hash64(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :])]
-            raw = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
-            counts += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[at] = weights[2 * counts > total].sum(dtype=np.uint64)
+            plain = np.array(hashes, "<u8")
+            for k in range(words64):
+                raw = mixed(plain, k).view(np.uint8).reshape(-1, 8)
+                counts[k] += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        for k in range(words64):
+            out[at, k] = weights[2 * counts[k] > total].sum(dtype=np.uint64)
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id and fingerprint (a long with the 64 bits) of each row."""
+def fingerprints(docs: DataFrame, size: int = 3, words64: int = 1) -> DataFrame:
+    """doc_id and fingerprint (a long with the 64 bits) of each row, and more of them in f1, f2, ... where asked for."""
+    names = ["fingerprint", *[f"f{k}" for k in range(1, words64)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            found = fingerprint_texts(batch.column(1).to_pylist(), size).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fingerprint"])
+            found = fingerprint_texts(batch.column(1).to_pylist(), size, words64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in found.T]], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint long")
+    schema = ", ".join(f"{n} long" for n in ["doc_id", *names])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def masks(radius: int) -> list[int]:
-    """The covering tables' masks of the 64 bits, one for each nonzero vector."""
+def cover(bits: list[int], radius: int) -> list[int]:
+    """Masks of these bits, one for each nonzero vector, of which two numbers agree in one if they differ in at most `radius` of the bits."""
     n = 1 << (radius + 1)
-    return [sum(1 << i for i in range(64) if bin((i % (n - 1) + 1) & m).count("1") % 2) for m in range(1, n)]
+    return [sum(1 << b for i, b in enumerate(bits) if bin((i % (n - 1) + 1) & m).count("1") % 2) for m in range(1, n)]
+
 
+def masks(radius: int) -> list[int]:
+    """The covering tables' masks of the 64 bits."""
+    if radius <= 4:
+        return cover(list(range(64)), radius)
+    return [m for part in range(3) for m in cover([b for b in range(64) if b % 3 != part], 2 * radius // 3)]
 
-def spanning_links(values, radius: int):
-    """Links that join the members of one bucket exactly as all its pairs within the radius would: (i, j) indices."""
+
+def spanning_links(values, reach: int) -> list[tuple[int, int]]:
+    """Links (i, j) that join the members of one bucket exactly as all its pairs at most `reach` bits apart would, nearest first."""
     import numpy as np
 
     n = len(values)
-    parent = list(range(n))
+    parent = np.arange(n)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -102,64 +129,73 @@ def spanning_links(values, radius: int):
     links = []
     for a in range(0, n, BLOCK):
         for b in range(a, n, BLOCK):
-            near = np.bitwise_count(values[a : a + BLOCK, None] ^ values[None, b : b + BLOCK]) <= radius
-            for i, j in zip(*np.nonzero(np.triu(near, 1) if a == b else near)):
-                x, y = root(a + int(i)), root(b + int(j))
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    links.append((a + int(i), b + int(j)))
+            apart = np.bitwise_count(values[a : a + BLOCK, None] ^ values[None, b : b + BLOCK])
+            for distance in np.unique(apart[apart <= reach]):
+                near = apart <= distance
+                # Every member takes one partner from another component, until there is none: a few rounds.
+                while True:
+                    ours = np.array([root(i) for i in range(a, min(n, a + BLOCK))])
+                    theirs = np.array([root(i) for i in range(b, min(n, b + BLOCK))])
+                    other = near & (ours[:, None] != theirs[None, :])
+                    from_ = np.flatnonzero(other.any(axis=1))
+                    if not len(from_):
+                        break
+                    for i, j in zip(from_.tolist(), other[from_].argmax(axis=1).tolist()):
+                        x, y = root(a + i), root(b + j)
+                        if x != y:
+                            parent[max(x, y)] = min(x, y)
+                            links.append((a + i, b + j))
     return links
 
 
-def links(distinct: DataFrame, radius: int) -> DataFrame:
-    """(a, b): links between the different fingerprints of `distinct` that connect what all pairs within the radius would."""
+def links(distinct: DataFrame, radius: int, reach: int | None = None) -> DataFrame:
+    """(a, b): links between the different fingerprints of `distinct` that connect what all pairs within the radius would.
+
+    With `reach` beyond the radius also what of the pairs so far apart meets in a bucket.
+    """
     tables = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
-    keyed = distinct.select("fingerprint", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in tables])).alias("mask", "key"))
+    # A bucket's name is a hash: should two buckets share one they are compared together, which changes nothing.
+    named = [F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(m))) for i, m in enumerate(tables)]
+    keyed = distinct.select(F.explode(F.array(*named)).alias("bucket"), "fingerprint")
+    bound = radius if reach is None else reach
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def found(part):
+        def found(groups: list) -> pa.RecordBatch:
             out = []
-            for mask, key, members in part:
-                del mask, key
+            for members in groups:
                 if len(members) > 1:
-                    values = members.view(np.uint64)
-                    out += [(members[i], members[j]) for i, j in spanning_links(values, radius)]
+                    out += [(members[i], members[j]) for i, j in spanning_links(members.view(np.uint64), bound)]
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        held = None
+        # The last bucket of a batch may go on in the next one.
+        name, held = None, []
         for batch in batches:
-            mask, key, value = (batch.column(i).to_numpy() for i in range(3))
-            if not len(mask):
+            bucket, value = (c.to_numpy() for c in batch.columns)
+            if not len(bucket):
                 continue
-            starts = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]))
-            edges = [*starts.tolist(), len(mask)]
-            several = np.flatnonzero(np.diff(edges) > 1)
+            edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
             groups = []
-            first = (mask[0], key[0])
-            if held is not None and held[:2] != first:
-                groups.append((*held[:2], np.concatenate(held[2])))
-                held = None
-            last = len(edges) - 2
-            for g in sorted({0, last, *several.tolist()}):
+            if name is not None and bucket[0] != name:
+                groups.append(np.concatenate(held))
+                held = []
+            several = np.flatnonzero(np.diff(edges) > 1).tolist()
+            for g in sorted({0, len(edges) - 2, *several}):
                 members = value[edges[g] : edges[g + 1]]
-                name = (mask[edges[g]], key[edges[g]])
-                if g == 0 and held is not None:
-                    held[2].append(members)
-                    if last > 0:
-                        groups.append((*held[:2], np.concatenate(held[2])))
-                        held = None
-                elif g == last:
-                    held = (*name, [members.copy()])
+                if g == 0:
+                    members = np.concatenate([*held, members])
+                    held = []
+                if g == len(edges) - 2:
+                    name, held = bucket[-1], [members.copy()]
                 else:
-                    groups.append((*name, members))
+                    groups.append(members)
             yield found(groups)
-        if held is not None:
-            yield found([(*held[:2], np.concatenate(held[2]))])
+        if held:
+            yield found([np.concatenate(held)])
 
     n = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = keyed.select("mask", "key", "fingerprint").repartition(n, "mask", "key").sortWithinPartitions("mask", "key")
+    placed = keyed.repartition(n, "bucket").sortWithinPartitions("bucket")
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -188,11 +224,27 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, fingerprint (long) and component_id, the least doc_id that links reach, of each row."""
-    prints = materialize(fingerprints(docs, size), "prints")
-    distinct = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n")), "distinct")
-    roots = components(links(distinct, radius))
+def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, agree: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, fingerprint (long) and component_id, the least doc_id that links reach, of each row.
+
+    `agree` is (reach, bits): links of at most `reach` bits in the fingerprint count
+    if the fingerprints of 256 bits differ in at most `bits`.
+    """
+    longer = [] if agree is None else ["f1", "f2", "f3"]
+    prints = materialize(fingerprints(docs, size, 1 + len(longer)), "prints")
+    same = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n"), *[F.min(f).alias(f) for f in longer])
+    distinct = materialize(same, "distinct")
+    found = links(distinct, radius, agree and agree[0])
+    if agree is not None:
+        found = materialize(found, "links")
+        a, b = (distinct.select(F.col("fingerprint").alias(x), *[F.col(f).alias(f"{x}{f}") for f in longer]) for x in "ab")
+        # A fingerprint has as many links as spanning its buckets takes, so no key is hot.
+        both = found.join(a, "a").join(b, "b")
+        apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+        for f in longer:
+            apart = apart + F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}")))
+        found = both.where(apart <= agree[1]).select("a", "b")
+    roots = components(found)
     classes = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "least", "_n", F.coalesce("root", "fingerprint").alias("root"))
     classes = materialize(classes, "classes")
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_r"))
@@ -205,14 +257,17 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 5, radius: int = 6) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, radius: int = 8, agree: tuple[int, int] | None = (14, 44)) -> DataFrame:
     """The rows of `docs` that stay when one of each component does: that of the least doc_id.
 
+    The defaults stand for a similarity of 0.8 of five-word shingles: 44 bits of 256
+    differ where the angle between two documents has a cosine of 0.86.
+
     Of rows that agree in doc_id and text one stays. Rows with a null doc_id can't
     be told apart by it, so each text of theirs stays once.
     """
-    found = near_duplicates(docs, size, radius).groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
-    found = materialize(found.where("_stays or doc_id is null").select(F.col("doc_id").alias("_id"), "_rows"), "stays")
-    same = docs["doc_id"].eqNullSafe(F.col("_id"))
-    once = docs.join(found.where("_rows = 1"), same, "left_semi")
-    return once.union(docs.join(found.where("_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    found = near_duplicates(docs, size, radius, agree).groupBy("doc_id").agg(F.count("*").alias("__quern_rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
+    found = materialize(found.where("_stays or doc_id is null").select(F.col("doc_id").alias("__quern_id"), "__quern_rows"), "stays")
+    same = docs["doc_id"].eqNullSafe(F.col("__quern_id"))
+    once = docs.join(found.where("__quern_rows = 1"), same, "left_semi")
+    return once.union(docs.join(found.where("__quern_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
