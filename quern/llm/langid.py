@@ -6,14 +6,13 @@ machine per family against the rest picks the language family; within it one per
 pair of languages votes, ties going to the larger sum of margins. A language that
 FAMILIES doesn't name is a family of its own.
 
-The machines are fitted on a bounded sample of labelled rows: at most `sample`
-rows, shared evenly among the languages, those of the least hash of doc_id. The
-rest of the corpus is only scored.
+The machines are fitted on a bounded sample of labelled rows: of the 200 most
+frequent languages at most `sample` rows, shared evenly, those of the least hash of
+doc_id. The rest of the corpus is only scored.
 
 A text that is null or has no letter is `und`, score 0, as is every text where
 there are no rows to learn from. Rows with a null lang or doc_id teach nothing;
-repeated rows each get a row. Columns beyond doc_id, text and lang are passed on by
-annotate(), and must not be called lang_pred, family or score.
+repeated rows each get a row. Columns beyond doc_id, text and lang are passed on.
 """
 
 from __future__ import annotations
@@ -73,34 +72,33 @@ def features(texts: list[str | None]):
 
 
 def svm(x, y, c: float = 4.0, rounds: int = 20):
-    """Weights, the bias last, of a linear SVM (squared hinge) by dual coordinate descent; y is +1 or -1."""
+    """Weights of a linear SVM (squared hinge) by dual coordinate descent; y is +1 or -1, the last feature is constant."""
     import numpy as np
 
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    square = (x * x).sum(axis=1) + 0.5 / c
+    w, alpha = np.zeros(x.shape[1], np.float32), np.zeros(len(x))
+    square = np.einsum("ij,ij->i", x, x) + 0.5 / c
     rng = np.random.default_rng(7)
     for _ in range(rounds):
         for i in rng.permutation(len(x)):
-            gradient = y[i] * (w @ x[i]) - 1 + alpha[i] * 0.5 / c
+            gradient = y[i] * float(w @ x[i]) - 1 + alpha[i] * 0.5 / c
             new = max(alpha[i] - gradient / square[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += np.float32((new - alpha[i]) * y[i]) * x[i]
                 alpha[i] = new
     return w
 
 
-def fit(labelled: DataFrame, sample: int = 3000) -> dict:
-    """A model from rows of doc_id, text and lang, all of which may be learnt from."""
+def fit(labelled: DataFrame, sample: int = 3000, most: int = 200) -> dict:
+    """A model of the `most` frequent languages, from rows of doc_id, text and lang, all of which may be learnt from."""
     import numpy as np
 
     known = labelled.where("lang is not null and text is not null and doc_id is not null")
-    found = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    if not found:
+    counted = known.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(most).collect()
+    if not counted:
         return {"langs": [], "families": []}
-    each = max(1, sample // len(found))
+    each = max(1, sample // len(counted))
     # Few rows pass the hash filter, so that ranks are made of these only.
-    counts = known.groupBy("lang").agg(F.count("*").alias("_n"))
+    counts = labelled.sparkSession.createDataFrame([(r["lang"], r["_n"]) for r in counted], "lang string, _n long")
     order = F.xxhash64("doc_id")
     thin = known.select("doc_id", "lang").join(F.broadcast(counts), "lang").where((F.pmod(order, F.lit(1 << 20)) * F.col("_n")) <= F.lit(4 * each * (1 << 20)))
     ranked = thin.withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy(order, "doc_id"))).where(F.col("_r") <= each)
@@ -117,13 +115,16 @@ def fit(labelled: DataFrame, sample: int = 3000) -> dict:
 
     rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang").mapInArrow(run, "lang string, x binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
     lang = np.array([r["lang"] for r in rows])
+    x = np.ones((len(rows), DIM + 1), np.float32)
+    for i, r in enumerate(rows):
+        x[i, :DIM] = np.frombuffer(r["x"], np.float16)
+    del rows
     langs = sorted(set(lang.tolist()))
     family = {v: FAMILIES.get(v.split("-")[0].split("_")[0].lower(), v) for v in langs}
     families = sorted(set(family.values()))
     own = np.array([family[v] for v in lang])
-    tops = [svm(x, np.where(own == f, 1.0, -1.0)) for f in families] if len(families) > 1 else [np.zeros(DIM + 1)]
+    tops = [svm(x, np.where(own == f, 1.0, -1.0)) for f in families] if len(families) > 1 else [np.zeros(DIM + 1, np.float32)]
     pairs = [(a, b) for i, a in enumerate(langs) for b in langs[i + 1 :] if family[a] == family[b]]
     low = []
     for a, b in pairs:
@@ -161,7 +162,8 @@ def predict(model: dict, texts: list[str | None]) -> list[tuple[str, str | None,
 
 
 def annotate(docs: DataFrame, model: dict) -> DataFrame:
-    """`docs`, all columns, with lang_pred, family and score."""
+    """`docs` with lang_pred, family and score, instead of columns of those names."""
+    docs = docs.drop("lang_pred", "family", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("family", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index("text")
 
@@ -176,6 +178,20 @@ def annotate(docs: DataFrame, model: dict) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def keep_known(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of `docs`, as they are, whose language can be told."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, known = batch.column(at), []
+            for a in range(0, len(texts), 256):
+                known += [f[0] != UNKNOWN for f in predict(model, texts[a : a + 256].to_pylist())]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, sample: int = 3000) -> DataFrame:
     """doc_id, held_out, lang_pred, score and family of each row; learns from the rows that aren't held out."""
     held = part(F.col("doc_id"), 4, 2)
