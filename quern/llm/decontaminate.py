@@ -96,24 +96,23 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def with_hits(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """`docs` with __quern_spans and __quern_hit of spans(), null where there are none."""
+    merged = spans(hits(docs, items, n)).select(F.col("doc_id").alias("__quern_id"), F.col("text_hash").alias("__quern_hash"), F.col("spans").alias("__quern_spans"), F.col("n_hit").alias("__quern_hit"))
+    return docs.join(merged, docs["doc_id"].eqNullSafe(F.col("__quern_id")) & (F.xxhash64(docs["text"]) == F.col("__quern_hash")), "left")
+
+
 def drop_documents(docs: DataFrame, items: DataFrame, n: int = 10, at_least: float = 0.0) -> DataFrame:
     """The rows of `docs` without those of which more than the share `at_least` of all words is hit."""
-    merged = spans(hits(docs, items, n)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n_hit")
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    joined = keyed.join(merged, keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left")
-    bad = F.col("n_hit") > F.lit(at_least) * F.size(words(F.col("text")))
-    return joined.where(F.col("n_hit").isNull() | ~bad).select(*docs.columns)
+    bad = F.col("__quern_hit") > F.lit(at_least) * F.size(words(F.col("text")))
+    return with_hits(docs, items, n).where(F.col("__quern_hit").isNull() | ~bad).select(*docs.columns)
 
 
 def drop_spans(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """`docs` with the hit words, and what stands between two of one run, taken out of their texts."""
-    merged = spans(hits(docs, items, n)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    joined = keyed.join(merged, keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left")
-    found = words(F.col("text"))
     # Gap i precedes word i; the last follows the last word.
-    pieces = joined.withColumns({"_w": found, "_g": F.split("text", WORD)})
-    hit = lambda i: F.exists("_spans", lambda s: (s["at"] <= i) & (i < s["end"]))
-    kept = F.transform("_w", lambda w, i: F.when(~hit(i), F.concat(F.get("_g", i), w)).otherwise(F.when((i > 0) & hit(i - 1), F.lit("")).otherwise(F.get("_g", i))))
-    clean = F.concat(F.array_join(kept, ""), F.element_at("_g", -1))
-    return pieces.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+    pieces = with_hits(docs, items, n).withColumns({"__quern_w": words(F.col("text")), "__quern_g": F.split("text", WORD)})
+    hit = lambda i: F.exists("__quern_spans", lambda s: (s["at"] <= i) & (i < s["end"]))
+    kept = F.transform("__quern_w", lambda w, i: F.when(~hit(i), F.concat(F.get("__quern_g", i), w)).otherwise(F.when((i > 0) & hit(i - 1), F.lit("")).otherwise(F.get("__quern_g", i))))
+    clean = F.concat(F.array_join(kept, ""), F.element_at("__quern_g", -1))
+    return pieces.withColumn("text", F.when(F.col("__quern_spans").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)

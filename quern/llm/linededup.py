@@ -102,9 +102,10 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` with repeated chunks taken out of the texts, and n_lines_removed."""
-    found = materialize(repeated(docs), "repeats").groupBy("doc_id").agg(F.collect_set(F.struct("low", "high", "first")).alias("_repeats")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "_repeats")
+    """`docs` with repeated chunks taken out of the texts, and n_lines_removed, instead of a column of that name."""
+    found = materialize(repeated(docs), "repeats").groupBy("doc_id").agg(F.collect_set(F.struct("low", "high", "first")).alias("__quern_repeats")).withColumnRenamed("doc_id", "__quern_id")
+    docs = docs.drop("n_lines_removed")
+    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("__quern_id")), "left").select(*docs.columns, "__quern_repeats")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines_removed", T.LongType())])
     at, last = docs.columns.index("text"), len(docs.columns)
 
