@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.config import CorpusConfig, EpochConfig
@@ -32,8 +31,8 @@ class CorpusWriter:
         lanes = max(1, self.config.lanes)
         flags = holdout(good.select("doc_id", F.size("tokens").alias("n"), F.pmod("doc_id", F.lit(lanes)).alias("lane")), self.config.holdout_rate, lane="lane")
         sized = with_ordinal(flags.withColumn("split", F.when(F.col("held_out"), "holdout").otherwise("train")), "split", "doc_id", name="_at")
-        first = F.min("_at").over(W.partitionBy("split"))
-        placed = good.join(sized.select("doc_id", "split", (F.col("_at") - first).alias("ord")), "doc_id")
+        first = sized.groupBy("split").agg(F.min("_at").alias("_first"))  # a row per split
+        placed = good.join(sized.join(F.broadcast(first), "split").select("doc_id", "split", (F.col("_at") - F.col("_first")).alias("ord")), "doc_id")
         write_corpus(placed, self.path, self.config, 1 if as_bytes else 4, n_vocab or 256, metadata_only)
         return ready.agg(F.count_if(F.col("tokens").isNull()).alias("n_null"), F.count_if(F.size("tokens") == 0).alias("n_empty"))
 

@@ -102,3 +102,10 @@ def learning_rate(step: Column, lr: float, warmup: int, cooldown: int, steps: in
     tail = (step - (steps - cooldown)) / F.lit(cooldown)
     rate = F.when(step < warmup, F.lit(lr) * (step + 1) / warmup).when(step < steps - cooldown, F.lit(lr)).otherwise(F.lit(lr) * (1 - F.sqrt(F.greatest(tail, F.lit(0.0)))))
     return F.when(step > steps, F.raise_error(F.lit("step beyond the last"))).otherwise(rate)
+
+
+def training_seed(seed: int = -1) -> int:
+    """A seed for a whole run: the given one, or a random one of 31 bits where it is negative. As a literal of a plan it is the same for every task."""
+    import secrets
+
+    return seed if seed >= 0 else secrets.randbits(31)

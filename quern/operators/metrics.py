@@ -77,9 +77,9 @@ def flat_indices(lengths: DataFrame, key: str, place: str, length: str, width: i
 
 def to_delete(checkpoints: DataFrame, most: int, by_name: bool = True) -> DataFrame:
     """The one checkpoint to delete when there are over `most`: the first by name or, as it should be, by epoch and step."""
-    order = W.partitionBy().orderBy("name") if by_name else W.partitionBy().orderBy("epoch", "step")
-    ranked = checkpoints.withColumns({"_i": F.row_number().over(order), "_n": F.count("*").over(W.partitionBy())})
-    return ranked.where((F.col("_i") == 1) & (F.col("_n") > most)).drop("_i", "_n")
+    order = F.struct("name") if by_name else F.struct("epoch", "step", "name")
+    found = checkpoints.agg(F.min_by(F.struct(*checkpoints.columns), order).alias("_c"), F.count("*").alias("_n"))
+    return found.where(F.col("_n") > most).select("_c.*")
 
 
 def resume_state(checkpoints: DataFrame) -> DataFrame:

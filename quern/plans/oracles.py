@@ -141,7 +141,7 @@ SELECT step, round(loss, 6) AS loss, tokens, correct, round(100.0::DOUBLE * corr
     "q37_cu_seqlens": f'SELECT conv_id, turn, s::BIGINT AS start, e::BIGINT AS "end", longest FROM {CU}',
     "q38_unpad_gather": f"SELECT conv_id, turn, min(i)::BIGINT AS first, max(i)::BIGINT AS last, sum(i)::BIGINT AS total FROM (SELECT conv_id, turn, conv_id * 32768 + unnest(range(s::BIGINT, e::BIGINT)) AS i FROM {CU}) GROUP BY conv_id, turn",
     "q39_checkpoint_retention": """
-WITH c AS (SELECT 'step_' || doc_id || '.pth' AS name, doc_id FROM documents WHERE doc_id > 0 AND doc_id <= 1200 AND doc_id % 100 = 0)
+WITH c AS (SELECT 'step_' || (doc_id + 2) || '.pth' AS name, doc_id FROM documents)
 SELECT 'name' AS by, min(name) AS name FROM c HAVING count(*) > 1 UNION ALL SELECT 'number', arg_min(name, doc_id) FROM c HAVING count(*) > 1""",
     "q40_update_average": "SELECT label, (i - 1)::INTEGER AS idx, round(avg(embedding[i]::DOUBLE), 6) AS value FROM embeddings, unnest(range(1, 65)) AS r(i) GROUP BY label, i",
     "q42_rms_norm": "SELECT vec_id, (i - 1)::INTEGER AS idx, round(embedding[i]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding) + 1e-6::DOUBLE), 6) AS value FROM embeddings, unnest(range(1, 65)) AS r(i)",

@@ -70,8 +70,8 @@ def with_ordinal(df: DataFrame, *order: str, name: str = "ord", partitions: int
     for p in range(n):
         starts.append(total)
         total += counts.get(p, 0)
-    offsets = F.array(*[F.lit(s).cast("long") for s in starts])
-    return placed.withColumn(name, F.get(offsets, F.col("_p")) + F.col("_i")).drop("_p", "_i")
+    offsets = df.sparkSession.createDataFrame(list(enumerate(starts)), "_p int, _start long")
+    return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_start") + F.col("_i")).drop("_p", "_i", "_start")
 
 
 def chunk_of(ordinal: Column, size: int = 4) -> Column:
