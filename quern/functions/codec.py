@@ -11,6 +11,8 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -173,6 +175,83 @@ def city64(s: bytes) -> int:
     return pair((pair(v[0], w[0]) + mix(y) * K1 + z) & ALL, (pair(v[1], w[1]) + x) & ALL)
 
 
+def city64_rows(values: list[bytes]):
+    """CityHash64 of many byte strings, as signed bits; those over 64 bytes block by block, all at once."""
+    import numpy as np
+
+    out = np.zeros(len(values), np.uint64)
+    long = []
+    for i, v in enumerate(values):
+        if len(v) > 64:
+            long.append(i)
+        else:
+            out[i] = city64(v)
+    if not long:
+        return out.view(np.int64)
+    long.sort(key=lambda i: -len(values[i]))
+    size = np.array([len(values[i]) for i in long], np.int64)
+    base = np.concatenate([[0], np.cumsum((size + 7) // 8 * 8)[:-1]])
+    raw = bytearray(int(base[-1] + size[-1] + 16))
+    for at, i in zip(base.tolist(), long):
+        raw[at : at + len(values[i])] = values[i]
+    data = np.frombuffer(bytes(raw), np.uint8)
+    k1, mul = np.uint64(K1), np.uint64(0x9DDFEA08EB382D69)
+
+    def read(at):
+        """Little-endian words at any places."""
+        got = np.zeros(len(at), np.uint64)
+        for j in range(8):
+            got |= data[at + j].astype(np.uint64) << np.uint64(8 * j)
+        return got
+
+    def turn(v, by):
+        return (v >> np.uint64(by)) | (v << np.uint64(64 - by))
+
+    def shift(v):
+        return v ^ (v >> np.uint64(47))
+
+    def both(u, v):
+        a = shift((u ^ v) * mul)
+        return shift((v ^ a) * mul) * mul
+
+    def weak_words(w, x, y, z, a, b):
+        a = a + w
+        b = turn(b + a + z, 21)
+        c = a
+        a = a + x + y
+        b = b + turn(a, 44)
+        return a + z, b + c
+
+    aligned = data[: len(data) // 8 * 8].view("<u8")
+    n = size.astype(np.uint64)
+    end = base + size
+    x = read(end - 40)
+    y = read(end - 16) + read(end - 56)
+    z = both(read(end - 48) + n, read(end - 24))
+    v0, v1 = weak_words(*(read(end - 64 + 8 * j) for j in range(4)), n, z)
+    w0, w1 = weak_words(*(read(end - 32 + 8 * j) for j in range(4)), y + k1, x)
+    x = x * k1 + aligned[base >> 3]
+    blocks = (size - 1) // 64
+    first = base >> 3
+    for k in range(int(blocks[0])):
+        m = int(np.searchsorted(-blocks, -k, side="left"))  # the strings with over k blocks
+        at = first[:m] + 8 * k
+        s = [aligned[at + j] for j in range(8)]
+        a, b, c, d = x[:m], y[:m], v0[:m], v1[:m]
+        x2 = turn(a + b + c + s[1], 37) * k1
+        y2 = turn(b + d + s[6], 42) * k1
+        x2 = x2 ^ w1[:m]
+        y2 = y2 + c + s[5]
+        z2 = turn(z[:m] + w0[:m], 33) * k1
+        nv = weak_words(s[0], s[1], s[2], s[3], d * k1, x2 + w0[:m])
+        nw = weak_words(s[4], s[5], s[6], s[7], z2 + w1[:m], y2 + s[2])
+        x[:m], y[:m], z[:m] = z2, y2, x2
+        v0[:m], v1[:m] = nv
+        w0[:m], w1[:m] = nw
+    out[long] = both(both(v0, w0) + shift(y) * k1 + z, both(v1, w1) + x)
+    return out.view(np.int64)
+
+
 def signed(v: int) -> int:
     """The 64 bits of v as a signed number: what a BIGINT column holds."""
     return v - (1 << 64) if v >> 63 else v
@@ -183,7 +262,11 @@ def city_udf():
 
     @F.pandas_udf("long")
     def city(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else signed(city64(bytes(b))))
+        real = values.notna()
+        made = pd.Series([None] * len(values), dtype="Int64")
+        if real.any():
+            made[real.to_numpy()] = city64_rows([bytes(b) for b in values[real]])
+        return made
 
     return city
 
@@ -209,8 +292,17 @@ def decompress_udf(width: int = 4):
     return run
 
 
+def list_to_words(tokens: pa.Array) -> pa.Array:
+    """Little-endian 32-bit words of a batch of lists."""
+    import numpy as np
+
+    words = np.ascontiguousarray(tokens.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
+    ends = np.concatenate([[0], np.cumsum([0 if n is None else n for n in pc.list_value_length(tokens).to_pylist()])]).astype(np.int32) * 4
+    mask = pc.invert(tokens.is_valid()) if tokens.null_count else None
+    made = pa.BinaryArray.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(words.tobytes())])
+    return made if mask is None else pc.if_else(mask, None, made)
+
+
 def words_binary(tokens: Column) -> Column:
-    """An array of tokens as little-endian 32-bit words, by built-in functions."""
-    text = F.transform(tokens, lambda t: F.lpad(F.hex(t.cast("long")), 8, "0"))
-    turned = F.transform(text, lambda h: F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2)))
-    return F.unhex(F.array_join(turned, ""))
+    """An array of tokens as little-endian 32-bit words."""
+    return F.arrow_udf(list_to_words, "binary")(tokens)

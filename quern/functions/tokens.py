@@ -18,10 +18,24 @@ def byte_count(text: Column) -> Column:
     return F.octet_length(text).cast("long")
 
 
+def bytes_to_list(texts: pa.Array) -> pa.Array:
+    """Lists of the UTF-8 bytes of a batch of texts: the same buffers, seen as numbers."""
+    import numpy as np
+
+    raw = texts.cast(pa.binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, 4 * raw.offset) if len(raw) else np.zeros(1, np.int32)
+    data = raw.buffers()[2]
+    values = np.frombuffer(data, np.uint8, ends[-1] - ends[0], ends[0]) if data is not None and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(values.astype(np.int32)), mask=raw.is_null() if raw.null_count else None)
+
+
 def byte_tokens(text: Column) -> Column:
-    """UTF-8 bytes, 0 to 255, one token each."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
-    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
+    """UTF-8 bytes, 0 to 255, one token each.
+
+    An Arrow function, several times as fast as cutting up the text's hexadecimal
+    form, which is what built-in functions offer.
+    """
+    return F.arrow_udf(bytes_to_list, "array<int>")(text)
 
 
 def decode_bytes(tokens: Column) -> Column:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.config import PADDING, EpochConfig
@@ -20,20 +20,101 @@ def steps(plan: DataFrame) -> DataFrame:
     return rows.groupBy("epoch", "rank", "step").agg(F.count("*").alias("n_rows"), F.max("_end").alias("num_tokens"))
 
 
+CUT = "epoch int, rank int, step int, lane int, is_continuation boolean, write_off int, part array<int>"
+BATCHES = "epoch int, rank int, step int, row int, lane int, is_continuation boolean, num_tokens int, tokens array<int>"
+
+
+def spread(starts, sizes):
+    """The places start, start + 1, ... of runs of these sizes, one after the other."""
+    import numpy as np
+
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each span's segments with their tokens, from spans with a list of segments."""
+    import numpy as np
+
+    for batch in batches:
+        parts, tokens = batch.column(0), batch.column(1)
+        flat, values = parts.flatten(), tokens.flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(batch)), np.diff(parts.offsets.to_numpy()))
+        first = tokens.offsets.to_numpy()
+        column = {f: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(x.name for x in flat.type)}
+        sizes = column["write_count"].astype(np.int64)
+        picked = values[spread((first[:-1] - first[0])[owner] + column["read_off"], sizes)]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(picked, pa.int32()))
+        names = ["epoch", "rank", "step", "lane", "is_continuation", "write_off"]
+        yield pa.RecordBatch.from_arrays([*[pa.array(column[n]) for n in names], lists], names=[*names, "part"])
+
+
+def put_together(padding: int):
+    """Rows of BATCHES from segments sorted by step, lane and place; a step that a batch breaks off is held for the next."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        import numpy as np
+
+        epoch, rank, step, lane, continues, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        part = batch.column(6)
+        sizes = np.diff(part.offsets.to_numpy()).astype(np.int64)
+
+        def changes(*columns):
+            return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]))
+
+        starts = changes(epoch, rank, step, lane)
+        ends = np.concatenate([starts[1:], [len(at)]]) - 1
+        used = at[ends] + sizes[ends]
+        steps = changes(epoch[starts], rank[starts], step[starts])
+        in_step = np.diff(np.concatenate([steps, [len(starts)]]))
+        width = np.repeat(np.maximum.reduceat(used, steps), in_step)
+        out = np.concatenate([[0], np.cumsum(width)])
+        values = np.full(out[-1], padding, np.int32)
+        row_of = np.repeat(np.arange(len(starts)), ends - starts + 1)
+        values[spread(out[row_of] + at, sizes)] = part.flatten().to_numpy(zero_copy_only=False)
+        tokens = pa.ListArray.from_arrays(pa.array(out.astype(np.int32)), pa.array(values))
+        row = np.arange(len(starts)) - np.repeat(steps, in_step)
+        columns = [epoch[starts], rank[starts], step[starts], row.astype(np.int32), lane[starts], continues[starts], width.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], tokens], names=["epoch", "rank", "step", "row", "lane", "is_continuation", "num_tokens", "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = [batch.column(i)[-1].as_py() for i in range(3)]
+            n = batch.num_rows
+            while n and [batch.column(i)[n - 1].as_py() for i in range(3)] == last:
+                n -= 1
+            if n or (held and [held[-1].column(i)[-1].as_py() for i in range(3)] != last):
+                done = [*held, batch.slice(0, n)] if n else held
+                yield rows(whole(done))
+                held = []
+            held.append(batch.slice(n))
+        if held:
+            yield rows(whole(held))
+
+    return run
+
+
 def assemble(plan: DataFrame, spans: DataFrame, padding: int = PADDING) -> DataFrame:
-    """(epoch, rank, step, row, lane, is_continuation, num_tokens, tokens): a step's rows, padded to its longest.
+    """Rows of BATCHES: (epoch, rank, step, row, lane, is_continuation, num_tokens, tokens), a step's rows padded to its longest.
 
-    Tokens meet the plan by shard and span; a long span is cut once per segment
-    before the shuffle that brings a row together. Empty lanes are left out and
-    later ones move up: `row` is the place, `lane` stays.
+    A span's segments are collected (a span has few) and meet its tokens once, are
+    cut there, and only what a row needs is shuffled to its step. Empty lanes are
+    left out and later ones move up: `row` is the place, `lane` stays.
     """
-    cut = plan.join(spans.select("shard", "span", "tokens"), ["shard", "span"]).select("epoch", "rank", "step", "lane", "is_continuation", "write_off", F.slice("tokens", F.col("read_off") + 1, F.col("write_count")).alias("_t"))
-    rows = cut.groupBy("epoch", "rank", "step", "lane").agg(F.first("is_continuation").alias("is_continuation"), F.array_sort(F.collect_list(F.struct("write_off", "_t"))).alias("_s"), F.max(F.col("write_off") + F.size("_t")).alias("_end"))
-    # A separator stands before every segment but the first.
-    joined = F.flatten(F.transform("_s", lambda s: F.when(s["write_off"] > 0, F.concat(F.array(F.lit(padding)), s["_t"])).otherwise(s["_t"])))
-    longest = F.max("_end").over(W.partitionBy("epoch", "rank", "step"))
-    rows = rows.withColumns({"num_tokens": longest, "row": F.row_number().over(W.partitionBy("epoch", "rank", "step").orderBy("lane")) - 1})
-    return rows.select("epoch", "rank", "step", "row", "lane", "is_continuation", "num_tokens", F.concat(joined, F.array_repeat(F.lit(padding), F.col("num_tokens") - F.col("_end"))).alias("tokens"))
+    segment = F.struct("epoch", "rank", "step", "lane", "is_continuation", "write_off", "read_off", "write_count")
+    wanted = plan.groupBy("shard", "span").agg(F.collect_list(segment).alias("parts"))
+    # Tokens are far larger than what they are made of, by which a broadcast would be judged.
+    cut = wanted.join(spans.select("shard", "span", "tokens").hint("merge"), ["shard", "span"]).select("parts", F.col("tokens").cast("array<int>")).mapInArrow(cut_spans, CUT)
+    n = max(1, int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = cut.repartition(n, "epoch", "rank", "step").sortWithinPartitions("epoch", "rank", "step", "lane", "write_off")
+    return placed.mapInArrow(put_together(padding), BATCHES)
 
 
 class CorpusLoader:

@@ -109,7 +109,7 @@ def q07_byte_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q08_byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = read_table(spark, sf_dir, "documents").select("doc_id", tk.byte_tokens(F.col("text")).alias("t"))
-    return made.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("sum_ids"), F.md5(F.array_join(F.transform("t", lambda x: x.cast("string")), ",")).alias("ids_md5"))
+    return made.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("sum_ids"), F.md5(codec.words_binary(F.col("t"))).alias("ids_md5"))
 
 
 @query

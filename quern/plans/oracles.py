@@ -99,7 +99,7 @@ FROM g LEFT JOIN f ON i >= node * ceil(n / 6) AND i < least((node + 1) * ceil(n
     "q05_strided_shard": f"SELECT (i % 8)::INTEGER AS shard, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM {D}) GROUP BY 1",
     "q06_contiguous_shard": f"SELECT (t - 1)::INTEGER AS shard, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM (SELECT *, ntile(8) OVER (ORDER BY doc_id) AS t FROM {D}) GROUP BY 1",
     "q07_byte_token_stats": "SELECT lang, count(*) AS n_docs, sum(strlen(text))::BIGINT AS n_tokens, max(strlen(text))::BIGINT AS longest FROM documents GROUP BY lang",
-    "q08_byte_tokens": f"SELECT doc_id, strlen(text)::BIGINT AS n_tokens, list_sum(list_transform({HEX}, lambda h: ('0x' || h)::INTEGER))::BIGINT AS sum_ids, md5(array_to_string(list_transform({HEX}, lambda h: (('0x' || h)::INTEGER)::VARCHAR), ',')) AS ids_md5 FROM documents",
+    "q08_byte_tokens": f"SELECT doc_id, strlen(text)::BIGINT AS n_tokens, list_sum(list_transform({HEX}, lambda h: ('0x' || h)::INTEGER))::BIGINT AS sum_ids, md5(unhex(regexp_replace(hex(encode(text)), '(..)', '\\1000000', 'g'))) AS ids_md5 FROM documents",
     "q09_regex_tokens": f"SELECT doc_id, len(p)::BIGINT AS n_tokens, md5(array_to_string(p, chr(1))) AS pieces_md5 FROM (SELECT doc_id, regexp_extract_all(text, '{PIECES}') AS p FROM documents)",
     "q10_token_ids_hash": f"SELECT lang, count(*) AS n_tokens, min(id) AS least_id, max(id) AS greatest_id, sum(id)::BIGINT AS sum_ids FROM (SELECT lang, ('0x' || substr(md5(p), 1, 7))::BIGINT % 50304 AS id FROM (SELECT lang, unnest(regexp_extract_all(text, '{PIECES}')) AS p FROM documents)) GROUP BY lang",
     "q11_holdout_split": f"WITH RECURSIVE {holdout('0')} SELECT doc_id, n, held_out FROM f",

@@ -1,5 +1,7 @@
 """Codecs, tokens and numbers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +27,10 @@ def test_planes_and_frames():
 def test_city_hash():
     assert codec.city64(b"") == 0x9AE16A3B2F90404F
     seen = {codec.city64(bytes((i * 7 + j) % 256 for j in range(n))) for n in (1, 3, 4, 7, 8, 16, 17, 32, 33, 64, 65, 128, 129, 1000) for i in range(50)}
+    r = random.Random(9)
+    many = [r.randbytes(n) for n in [*range(0, 400), 1000, 4096, 5000]]
+    assert codec.city64_rows(many).tolist() == [codec.signed(codec.city64(v)) for v in many]
+    assert codec.city64_rows([]).tolist() == []
     assert len(seen) == 14 * 50 and codec.signed(1 << 63) == -(1 << 63)
 
 
