@@ -16,15 +16,15 @@ SHARD_REPEATS = 16
 class EpochConfig:
     """What one rank reads in one epoch."""
 
-    shuffle_seed0: int = 0
-    shuffle_seed1: int = 0
-    local_rank: int = 0
-    local_rank_count: int = 1
+    seed0: int = 0  # of the run
+    seed1: int = 0  # of the epoch
+    local_rank: int = 0  # which slice of each shard is read
+    local_rank_count: int = 1  # of how many
     padding_token: int = PADDING
-    micro_batch_size: int = 4
-    context_size: int = 4096
-    min_data_length: int = 64
-    start_step: int = 0
+    micro_batch_size: int = 4  # rows of a step
+    context_size: int = 4096  # places of a row
+    min_data_length: int = 64  # shorter tails are dropped
+    start_step: int = 0  # steps before it are skipped unread
 
     def __post_init__(self) -> None:
         if not 0 <= self.local_rank < self.local_rank_count:

@@ -130,9 +130,9 @@ class CorpusLoader:
 
     def begin_epoch(self, config: EpochConfig, epoch: int | None = None) -> DataFrame:
         """Plan an epoch; the batches of this rank, as a lazy table, in no order."""
-        number = config.shuffle_seed1 if epoch is None else epoch
+        number = config.seed1 if epoch is None else epoch
         epochs = self.spark.range(1).select(F.lit(number).alias("epoch"))
-        ordered = interleaved(self.spans.select("shard", "span", "token_count"), config.shuffle_seed0, epochs, config.local_rank_count).where(F.col("rank") == config.local_rank)
+        ordered = interleaved(self.spans.select("shard", "span", "token_count"), config.seed0, epochs, config.local_rank_count).where(F.col("rank") == config.local_rank)
         whole = segments(ordered, config.micro_batch_size, config.context_size, config.min_data_length).cache()
         self.plan = whole
         found = total_steps(whole).first()
