@@ -70,7 +70,7 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_bytes: int =
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """One row for each document with hits: spans (disjoint [start, end) runs of hit words, in order), n_hit, item_ids.
+    """One row for each document with hits: spans (its occurrences, as words [at, end), in order), n_hit, item_ids.
 
     Occurrences of one document are merged here, so memory follows the longest
     document, not the number of its copies: repeated rows give equal occurrences,
@@ -108,10 +108,17 @@ def drop_documents(docs: DataFrame, items: DataFrame, n: int = 10, at_least: flo
     return with_hits(docs, items, n).where(F.col("__quern_hit").isNull() | ~bad).select(*docs.columns)
 
 
+def runs(found: Column) -> Column:
+    """Occurrences in order, joined where they overlap or touch."""
+    last = lambda a: F.element_at(a, -1)
+    grown = lambda a, x: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a)["at"].alias("at"), F.greatest(last(a)["end"], x["end"]).alias("end"))))
+    return F.aggregate(found, F.array().cast("array<struct<at:int,end:int>>"), lambda a, x: F.when((F.size(a) > 0) & (x["at"] <= F.try_element_at(a, F.lit(-1))["end"]), grown(a, x)).otherwise(F.concat(a, F.array(x))))
+
+
 def drop_spans(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """`docs` with the hit words, and what stands between two of one run, taken out of their texts."""
     # Gap i precedes word i; the last follows the last word.
-    pieces = with_hits(docs, items, n).withColumns({"__quern_w": words(F.col("text")), "__quern_g": F.split("text", WORD)})
+    pieces = with_hits(docs, items, n).withColumn("__quern_spans", runs(F.col("__quern_spans"))).withColumns({"__quern_w": words(F.col("text")), "__quern_g": F.split("text", WORD)})
     hit = lambda i: F.exists("__quern_spans", lambda s: (s["at"] <= i) & (i < s["end"]))
     kept = F.transform("__quern_w", lambda w, i: F.when(~hit(i), F.concat(F.get("__quern_g", i), w)).otherwise(F.when((i > 0) & hit(i - 1), F.lit("")).otherwise(F.get("__quern_g", i))))
     clean = F.concat(F.array_join(kept, ""), F.element_at("__quern_g", -1))
