@@ -43,6 +43,8 @@ CONTEXT = {
     "name": r"(?:mr|mrs|ms|dr|name|from|by|dear|contact|signed)\W{0,4}(?:is)?\W{0,4}$",
 }
 AGAINST = r"(?:isbn|version|page|section|figure|example|order|item|part|sku)\W{0,4}$"
+#: Parts whose lengths are summed one after the other.
+RUN = 256
 MARK, OTHER = "\u0001", "\u0002"
 
 
@@ -51,20 +53,45 @@ def parts(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(F.translate(text, MARK, OTHER), pattern, f"{MARK}$0{MARK}"), MARK)
 
 
-def running(cut: Column) -> Column:
-    """Where each part ends."""
-    return F.aggregate(F.transform(cut, lambda x: F.char_length(x).cast("long")), F.array().cast("array<bigint>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint")) + n)))
+def running(sizes: Column) -> Column:
+    """Running sums of an array. An array grows by copies, so this is for short ones."""
+    return F.aggregate(sizes, F.array().cast("array<bigint>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint")) + n)))
 
 
-def matched(text: Column, pattern: str, gate: Column) -> Column:
-    """Array of (start, end, text, before) of the matches; texts that fail `gate`, which no match can, aren't searched."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,text:string,before:string>>")
-    cut = parts(text, pattern)
-    each = F.transform(
-        F.filter(F.arrays_zip(cut.alias("t"), running(cut).alias("e"), F.concat(F.array(F.lit("")), cut).alias("b")), lambda x, i: (i % 2 == 1) & x["t"].isNotNull()),
-        lambda x: F.struct((x["e"] - F.char_length(x["t"])).alias("start"), x["e"].alias("end"), x["t"].alias("text"), F.right(x["b"], F.lit(40)).alias("before")),
-    )
-    return F.when(gate, each).otherwise(empty)
+def matches(read: DataFrame, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """`read`, with its text in _t, and for each name an array of (start, end, text, before) of a pattern's matches.
+
+    Texts that fail a pattern's gate, which none with a match does, aren't searched.
+    Where parts end is summed within runs of RUN parts and over the runs, so a text
+    with very many matches takes no square of their number. Every step is a column
+    of its own, so nothing is worked out twice.
+    """
+    kept = [c for c in read.columns if c != "_t"]
+    cut = read.select(*kept, *[F.when(gate, parts(F.col("_t"), p)).alias(f"{k}_c") for k, (p, gate) in patterns.items()])
+
+    def runs(k: str) -> Column:
+        c = F.col(f"{k}_c")
+        sizes = F.transform(c, lambda x: F.char_length(x).cast("long"))
+        many = F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / RUN).cast("int")), lambda i: F.transform(F.slice(c, i * RUN + 1, F.lit(RUN)), lambda x: F.char_length(x).cast("long")))
+        return F.when(F.size(c) == 1, F.array().cast("array<array<bigint>>")).when(F.size(c) <= RUN, F.array(sizes)).when(c.isNotNull(), many)
+
+    def before(k: str) -> Column:
+        sums = F.transform(f"{k}_r", lambda r: F.aggregate(r, F.lit(0).cast("bigint"), lambda a, n: a + n))
+        return F.when(F.size(f"{k}_r") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.concat(F.array(F.lit(0).cast("bigint")), running(sums)))
+
+    def each(k: str) -> Column:
+        c = F.col(f"{k}_c")
+        found = F.transform(F.sequence(F.lit(1), F.size(c) - 1, F.lit(2)), lambda i: F.struct((F.get(f"{k}_e", i) - F.char_length(F.get(c, i))).alias("start"), F.get(f"{k}_e", i).alias("end"), F.get(c, i).alias("text"), F.right(F.get(c, i - 1), F.lit(40)).alias("before")))
+        return F.when(F.size(c) > 1, found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,text:string,before:string>>")).alias(k)
+
+    def summed(k: str) -> Column:
+        return F.flatten(F.zip_with(f"{k}_r", F.slice(f"{k}_b", F.lit(1), F.size(f"{k}_r")), lambda r, b: F.transform(running(r), lambda n: n + b)))
+
+    names = list(patterns)
+    with_runs = cut.select("*", *[runs(k).alias(f"{k}_r") for k in names])
+    with_starts = with_runs.select("*", *[before(k).alias(f"{k}_b") for k in names])
+    with_ends = with_starts.select("*", *[summed(k).alias(f"{k}_e") for k in names])
+    return with_ends.select(*kept, *[each(k) for k in names])
 
 
 def digits(text: Column) -> Column:
@@ -118,7 +145,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     digit = F.col("_t").rlike("[0-9]")
     gates = {"email": F.contains("_t", F.lit("@")), "ip": digit, "card": digit, "phone": F.contains("_t", F.lit("+")), "id": digit, "local": digit, "secret": F.col("_t").rlike("(?i)password|passwd|token|secret|key|AKIA"), "name": F.col("_t").rlike(rf"\b(?:{GIVEN}) [A-Z]")}
     read = docs.select("doc_id", text.alias("_t"))
-    found = read.select("doc_id", *[matched(F.col("_t"), p, gates[k]).alias(k) for k, p in {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, **LOOSE}.items()])
+    found = matches(read, {k: (p, gates[k]) for k, p in {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, **LOOSE}.items()})
 
     # Spark counts a lambda's parameters, so what differs by kind comes in by closure, not by default values.
     def accepted(rank: int, kind: str) -> Column:
