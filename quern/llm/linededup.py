@@ -1,25 +1,37 @@
-"""Line dedup by content-defined chunks of lines.
-
-Every line of a text is hashed; a rolling hash over the last `span` line hashes
-closes a chunk where it is 0 modulo `divisor`, so that boundaries depend on the
-lines around them only and lines put in elsewhere don't move them. A chunk has at
-most `longest` lines. Chunks of two or more lines that hold a letter or digit and
-that other documents, or other places of the same one, repeat are removed but for
-the first: of the documents with the same chunk that of the least doc_id, therein
-the first place.
-
-Candidates share a 128-bit hash; what is removed was grouped by the chunk's very
-bytes before, so different chunks are never taken for one another.
-
-A null text stays null, an empty one empty; a text all of whose chunks go becomes
+"""Line dedup: repeated runs of two or more lines are removed but for their first copy.
+
+A run is two or more consecutive lines that hold a letter or digit. Every line of a
+run that other documents, or earlier places of the same one, hold too goes, however
+long the run is and wherever in the text; the first copy stays: of the documents
+with the same run that of the least doc_id, therein the first place. Where a run
+overlaps its own first copy only what lies behind that goes. Every different line
+of the corpus stays somewhere.
+
+Runs are found by their seeds, which are as short as a run can be: two lines with a
+letter or digit in one of them, or, where several lines without any follow each
+other, such a line and all up to the nearest with one, on either side. A repeated
+run is the union of its seeds, each of them repeated, and a repeated seed is a
+repeated run; so no growing is needed and no run is missed. A text's last line end
+doesn't start another line.
+
+`drop_runs` does that. `drop_repeats` is the coarser rule of content-defined chunks:
+a rolling hash over the last `span` line hashes closes a chunk where it is 0 modulo
+`divisor`, a chunk has at most `longest` lines, and only whole chunks are compared,
+so that short runs and the edges of long ones stay.
+
+Candidates share a 128-bit hash; what is removed was grouped by its very bytes
+before, so different lines are never taken for one another. (Seeds of three and
+more lines are compared by SHA-256, as their bytes would grow by the square.)
+
+A null text stays null, an empty one empty; a text all of which goes becomes
 empty. Repeated rows of one doc_id count as one document: their first copies stay
-in each. Rows with a null doc_id are never the first where others have the chunk.
+in each. Rows with a null doc_id are never the first where others have the run.
 All columns are kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,8 +79,40 @@ def counts_as(chunk: str, lines: int) -> bool:
     return lines > 1 and any(map(str.isalnum, chunk))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, low, high, first): the chunks of each document that other places repeat; `first` where its own first copy stays."""
+def chunk_keys(text: str) -> list[str]:
+    return [body(chunk) for chunk, lines in chunks(text) if counts_as(chunk, lines)]
+
+
+def seeds(text: str) -> list[tuple[int, int, str]]:
+    """The seeds of a text: first line, line behind the last, and what is compared; the copies of each in order."""
+    import hashlib
+
+    lines = text.split("\n")
+    n = len(lines) - (lines[-1] == "")
+    holds = [any(map(str.isalnum, line)) for line in lines[:n]]
+    out = [(i, i + 2, f"{lines[i]}\n{lines[i + 1]}") for i in range(n - 1) if holds[i] or holds[i + 1]]
+    start = 0
+    for end in [*[i for i in range(n) if holds[i]], n]:
+        # The lines from start to end hold nothing.
+        if end - start > 1:
+            for way, order in (("after", range(start - 1, end)), ("before", range(end, start - 1, -1))):
+                if not 0 <= order[0] < n:
+                    continue
+                chain = hashlib.sha256()
+                for count, i in enumerate(order, 1):
+                    chain.update(lines[i].encode("utf-8", "surrogatepass") + b"\n")
+                    if count > 2:
+                        out.append((min(i, order[0]), max(i, order[0]) + 1, f"{way} {chain.hexdigest()}"))
+        start = end + 1
+    return out
+
+
+def seed_keys(text: str) -> list[str]:
+    return [key for _, _, key in seeds(text)]
+
+
+def repeated(docs: DataFrame, keys: Callable[[str], list[str]] = chunk_keys) -> DataFrame:
+    """(doc_id, low, high, first): the `keys` of each document that other places repeat; `first` where its own first copy stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
@@ -78,9 +122,8 @@ def repeated(docs: DataFrame) -> DataFrame:
             held = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own: dict[tuple[int, int], list] = {}
-                for chunk, lines in chunks(text.as_py() or ""):
-                    if counts_as(chunk, lines):
-                        own.setdefault(name(chunk), [0, body(chunk)])[0] += 1
+                for key in keys(text.as_py() or ""):
+                    own.setdefault(name(key), [0, key])[0] += 1
                 for (low, high), (copies, chunk) in own.items():
                     for column, value in zip(rows, (doc_id, low, high, copies, chunk)):
                         column.append(value)
@@ -101,9 +144,43 @@ def repeated(docs: DataFrame) -> DataFrame:
     return met.select("doc_id", "low", "high", F.col("doc_id").eqNullSafe(F.col("keeper")).alias("first"))
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` with repeated chunks taken out of the texts, and n_lines_removed, instead of a column of that name."""
-    found = materialize(repeated(docs), "repeats").groupBy("doc_id").agg(F.collect_set(F.struct("low", "high", "first")).alias("__quern_repeats")).withColumnRenamed("doc_id", "__quern_id")
+def without_chunks(text: str, known: dict[tuple[int, int], bool]) -> tuple[str, int]:
+    """The text without the chunks in `known`, but for the first copy of those that are true there; and the number of lines gone."""
+    kept, removed = [], 0
+    for chunk, lines in chunks(text):
+        which = name(chunk) if counts_as(chunk, lines) else None
+        if which not in known:
+            kept.append(chunk)
+        elif known[which]:
+            known[which] = False
+            kept.append(chunk)
+        else:
+            removed += lines
+    return "".join(kept), removed
+
+
+def without_runs(text: str, known: dict[tuple[int, int], bool]) -> tuple[str, int]:
+    """The same for seeds, whose lines go."""
+    lines = text.split("\n")
+    gone = bytearray(len(lines))
+    behind: dict[tuple[int, int], int] = {}
+    for start, end, key in seeds(text):
+        which = name(key)
+        if which not in known:
+            continue
+        if known[which] and which not in behind:
+            behind[which] = end
+            continue
+        start = max(start, behind.get(which, 0))
+        if start < end:
+            gone[start:end] = b"\1" * (end - start)
+    last = len(lines) - 1
+    return "".join(line + ("\n" if i < last else "") for i, line in enumerate(lines) if not gone[i]), sum(gone)
+
+
+def drop(docs: DataFrame, keys: Callable, without: Callable) -> DataFrame:
+    """`docs` with what is repeated of `keys` taken out of the texts by `without`, and n_lines_removed, instead of a column of that name."""
+    found = materialize(repeated(docs, keys), "repeats").groupBy("doc_id").agg(F.collect_set(F.struct("low", "high", "first")).alias("__quern_repeats")).withColumnRenamed("doc_id", "__quern_id")
     docs = docs.drop("n_lines_removed")
     joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("__quern_id")), "left").select(*docs.columns, "__quern_repeats")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines_removed", T.LongType())])
@@ -115,18 +192,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             for text, repeats in zip(batch.column(at), batch.column(last)):
                 text, removed = text.as_py(), 0
                 if text is not None and repeats.is_valid:
-                    known = {(r["low"], r["high"]): r["first"] for r in repeats.as_py()}
-                    kept = []
-                    for chunk, lines in chunks(text):
-                        which = name(chunk) if counts_as(chunk, lines) else None
-                        if which not in known:
-                            kept.append(chunk)
-                        elif known[which]:
-                            known[which] = False
-                            kept.append(chunk)
-                        else:
-                            removed += lines
-                    text = "".join(kept)
+                    text, removed = without(text, {(r["low"], r["high"]): r["first"] for r in repeats.as_py()})
                 texts.append(text)
                 counts.append(removed)
             columns = list(batch.columns[:last])
@@ -136,6 +202,16 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """`docs` without repeated chunks, the coarser rule."""
+    return drop(docs, chunk_keys, without_chunks)
+
+
+def drop_runs(docs: DataFrame) -> DataFrame:
+    """`docs` without repeated runs of two or more lines."""
+    return drop(docs, seed_keys, without_runs)
+
+
 def digest(kept: DataFrame) -> DataFrame:
     """doc_id, characters and lines removed, and a hash of what is left of each row."""
     return kept.select("doc_id", "n_lines_removed", F.char_length("text").cast("long").alias("n_chars_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -35,7 +35,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.digest(linededup.drop_repeats(read_table(spark, sf_dir, "documents")))
+    return linededup.digest(linededup.drop_runs(read_table(spark, sf_dir, "documents")))
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
