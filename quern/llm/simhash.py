@@ -14,7 +14,10 @@ Equal fingerprints are joined first, so a bucket holds different fingerprints
 only, and only the links that span a bucket leave it: never all of its pairs. A
 large bucket is compared block by block, in memory that doesn't depend on the
 number of its pairs. With `agree`, links may reach further than the radius, and
-count where the documents' longer fingerprints, of 256 bits, agree too.
+count where the documents' longer fingerprints, of 256 bits, agree too; that is
+decided of each pair before links are chosen, so a pair that fails takes no other's
+place. The tables carry the short fingerprints only; longer ones are looked up for
+members of a bucket that have another in reach there.
 
 Null and empty texts have fingerprint zero, which links as any other does. Rows
 with a null doc_id get a component but are never its representative unless all
@@ -23,7 +26,7 @@ are null. Repeated rows each stay a row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -113,8 +116,11 @@ def masks(radius: int) -> list[int]:
     return [m for part in range(3) for m in cover([b for b in range(64) if b % 3 != part], 2 * radius // 3)]
 
 
-def spanning_links(values, reach: int) -> list[tuple[int, int]]:
-    """Links (i, j) that join the members of one bucket exactly as all its pairs at most `reach` bits apart would, nearest first."""
+def spanning_links(values, reach: int, longer=None, bits: int = 0) -> list[tuple[int, int]]:
+    """Links (i, j) that join the members of one bucket exactly as all its pairs at most `reach` bits apart would, of each two blocks nearest first.
+
+    With `longer`, rows of more words of each member, only pairs count of which all words differ in at most `bits`.
+    """
     import numpy as np
 
     n = len(values)
@@ -130,6 +136,11 @@ def spanning_links(values, reach: int) -> list[tuple[int, int]]:
     for a in range(0, n, BLOCK):
         for b in range(a, n, BLOCK):
             apart = np.bitwise_count(values[a : a + BLOCK, None] ^ values[None, b : b + BLOCK])
+            if longer is not None and (apart <= reach).any():
+                total = apart.astype(np.int64)
+                for k in range(longer.shape[1]):
+                    total += np.bitwise_count(longer[a : a + BLOCK, None, k] ^ longer[None, b : b + BLOCK, k])
+                apart = np.where(total <= bits, apart, 255)
             for distance in np.unique(apart[apart <= reach]):
                 near = apart <= distance
                 # Every member takes one partner from another component, until there is none: a few rounds.
@@ -148,37 +159,47 @@ def spanning_links(values, reach: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(distinct: DataFrame, radius: int, reach: int | None = None) -> DataFrame:
-    """(a, b): links between the different fingerprints of `distinct` that connect what all pairs within the radius would.
+def paired(values, reach: int):
+    """Which members of one bucket have another at most `reach` bits apart."""
+    import numpy as np
 
-    With `reach` beyond the radius also what of the pairs so far apart meets in a bucket.
-    """
+    n = len(values)
+    out = np.zeros(n, bool)
+    for a in range(0, n, BLOCK):
+        for b in range(a, n, BLOCK):
+            near = np.bitwise_count(values[a : a + BLOCK, None] ^ values[None, b : b + BLOCK]) <= reach
+            if a == b:
+                np.fill_diagonal(near, False)
+            out[a : a + BLOCK] |= near.any(axis=1)
+            out[b : b + BLOCK] |= near.any(axis=0)
+    return out
+
+
+def buckets(distinct: DataFrame, radius: int) -> DataFrame:
+    """(bucket, fingerprint): each fingerprint in every covering table."""
     tables = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
     # A bucket's name is a hash: should two buckets share one they are compared together, which changes nothing.
     named = [F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(m))) for i, m in enumerate(tables)]
-    keyed = distinct.select(F.explode(F.array(*named)).alias("bucket"), "fingerprint")
-    bound = radius if reach is None else reach
+    return distinct.select(F.explode(F.array(*named)).alias("bucket"), "fingerprint")
+
+
+def in_buckets(keyed: DataFrame, found: Callable[[list], pa.RecordBatch], schema: str) -> DataFrame:
+    """`found` of lists of (bucket, members) with two members at least; `keyed` is the bucket and one column of longs, or several, of which members have rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def found(groups: list) -> pa.RecordBatch:
-            out = []
-            for members in groups:
-                if len(members) > 1:
-                    out += [(members[i], members[j]) for i, j in spanning_links(members.view(np.uint64), bound)]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
         # The last bucket of a batch may go on in the next one.
         name, held = None, []
         for batch in batches:
-            bucket, value = (c.to_numpy() for c in batch.columns)
+            bucket, *columns = (c.to_numpy() for c in batch.columns)
+            value = columns[0] if len(columns) == 1 else np.stack(columns, axis=1)
             if not len(bucket):
                 continue
             edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
             groups = []
             if name is not None and bucket[0] != name:
-                groups.append(np.concatenate(held))
+                groups.append((name, np.concatenate(held)))
                 held = []
             several = np.flatnonzero(np.diff(edges) > 1).tolist()
             for g in sorted({0, len(edges) - 2, *several}):
@@ -189,14 +210,57 @@ def links(distinct: DataFrame, radius: int, reach: int | None = None) -> DataFra
                 if g == len(edges) - 2:
                     name, held = bucket[-1], [members.copy()]
                 else:
-                    groups.append(members)
-            yield found(groups)
+                    groups.append((bucket[edges[g]], members))
+            yield found([x for x in groups if len(x[1]) > 1])
         if held:
-            yield found([np.concatenate(held)])
+            yield found([x for x in [(name, np.concatenate(held))] if len(x[1]) > 1])
+
+    n = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return keyed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def links(distinct: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links between the different fingerprints of `distinct` that connect what all pairs within the radius would."""
+
+    def found(groups: list) -> pa.RecordBatch:
+        import numpy as np
+
+        out = [(members[i], members[j]) for _, members in groups for i, j in spanning_links(members.view(np.uint64), radius)]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return in_buckets(buckets(distinct, radius), found, "a long, b long").distinct()
+
+
+def agreed_links(distinct: DataFrame, radius: int, agree: tuple[int, int]) -> DataFrame:
+    """(a, b): links that connect what all pairs would that meet in a bucket, are at most agree[0] bits apart and in all 256 bits at most agree[1].
+
+    `distinct` has fingerprint, f1, f2, f3.
+    """
+    reach, bits = agree
+
+    def near(groups: list) -> pa.RecordBatch:
+        import numpy as np
+
+        names, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for bucket, members in groups:
+            some = members[paired(members.view(np.uint64), reach)]
+            names.append(np.full(len(some), bucket, np.int64))
+            values.append(some)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, values)], names=["bucket", "fingerprint"])
+
+    def found(groups: list) -> pa.RecordBatch:
+        import numpy as np
+
+        out = []
+        for _, members in groups:
+            words = np.ascontiguousarray(members).view(np.uint64)
+            out += [(members[i, 0], members[j, 0]) for i, j in spanning_links(words[:, 0], reach, words[:, 1:], bits)]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    n = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = keyed.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    close = materialize(in_buckets(buckets(distinct, radius), near, "bucket long, fingerprint long"), "close")
+    # A fingerprint is in a table once, so no key is hot.
+    whole = close.join(distinct.select("fingerprint", "f1", "f2", "f3"), "fingerprint").select("bucket", "fingerprint", "f1", "f2", "f3")
+    return in_buckets(whole, found, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -234,16 +298,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, agree: tupl
     prints = materialize(fingerprints(docs, size, 1 + len(longer)), "prints")
     same = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n"), *[F.min(f).alias(f) for f in longer])
     distinct = materialize(same, "distinct")
-    found = links(distinct, radius, agree and agree[0])
-    if agree is not None:
-        found = materialize(found, "links")
-        a, b = (distinct.select(F.col("fingerprint").alias(x), *[F.col(f).alias(f"{x}{f}") for f in longer]) for x in "ab")
-        # A fingerprint has as many links as spanning its buckets takes, so no key is hot.
-        both = found.join(a, "a").join(b, "b")
-        apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-        for f in longer:
-            apart = apart + F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}")))
-        found = both.where(apart <= agree[1]).select("a", "b")
+    found = links(distinct, radius) if agree is None else agreed_links(distinct, radius, agree)
     roots = components(found)
     classes = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "least", "_n", F.coalesce("root", "fingerprint").alias("root"))
     classes = materialize(classes, "classes")

@@ -1,0 +1,60 @@
+"""Near-duplicates that must agree in 256 bits, against brute force over all pairs."""
+
+import random
+
+import numpy as np
+
+from quern.llm import simhash
+
+rng = random.Random(21)
+
+
+def family(n):
+    """Fingerprints of four words, all within reach of each other in the first word, of several groups that agree in 256 bits."""
+    base = rng.getrandbits(64)
+    heads = [[rng.getrandbits(64) for _ in range(3)] for _ in range(40)]
+    flips = lambda most: sum(1 << i for i in rng.sample(range(64), rng.randrange(most + 1)))
+    rows = {}
+    while len(rows) < n:
+        first = base ^ flips(6)
+        rows[first] = [first, *[w ^ flips(10) for w in rng.choice(heads)]]
+    return np.array(list(rows.values()), np.uint64)
+
+
+def classes(n, pairs):
+    p = list(range(n))
+
+    def f(i):
+        while p[i] != i:
+            i = p[i]
+        return i
+
+    for i, j in pairs:
+        p[max(f(i), f(j))] = min(f(i), f(j))
+    return [f(i) for i in range(n)]
+
+
+def agreed(rows, reach, bits):
+    apart = np.bitwise_count(rows[:, None, :] ^ rows[None, :, :]).astype(int)
+    return (apart[:, :, 0] <= reach) & (apart.sum(axis=2) <= bits)
+
+
+def test_links_of_a_dense_bucket():
+    rows = family(1100)
+    want = classes(len(rows), zip(*np.nonzero(agreed(rows, 14, 44))))
+    assert 2 < len(set(want)) < len(rows)
+    assert classes(len(rows), simhash.spanning_links(rows[:, 0], 14, rows[:, 1:], 44)) == want
+
+
+def test_all_agreeing_pairs_of_buckets(spark):
+    rows = np.concatenate([family(700), family(60), family(60)])
+    both = rows[:, None, 0] ^ rows[None, :, 0]
+    meet = np.zeros(both.shape, bool)
+    for m in simhash.masks(8):
+        meet |= both & np.uint64(m) == 0
+    want = classes(len(rows), zip(*np.nonzero(agreed(rows, 14, 44) & meet)))
+    values = rows.view(np.int64).tolist()
+    distinct = spark.createDataFrame(values, "fingerprint long, f1 long, f2 long, f3 long")
+    found = simhash.agreed_links(distinct, 8, (14, 44)).collect()
+    place = {v[0]: i for i, v in enumerate(values)}
+    assert classes(len(rows), [(place[r["a"]], place[r["b"]]) for r in found]) == want
