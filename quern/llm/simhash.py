@@ -17,7 +17,10 @@ number of its pairs. With `agree`, links may reach further than the radius, and
 count where the documents' longer fingerprints, of 256 bits, agree too; that is
 decided of each pair before links are chosen, so a pair that fails takes no other's
 place. The tables carry the short fingerprints only; longer ones are looked up for
-members of a bucket that have another in reach there.
+members of a bucket that have another in reach there. Documents are then one from
+the start only if all 256 bits are equal; equal short fingerprints meet in a bucket
+of their own and are linked if the rest agrees. The longer words count each different
+shingle once, so a shingle that makes over half of a text decides the first word only.
 
 Null and empty texts have fingerprint zero, which links as any other does. Rows
 with a null doc_id get a component but are never its representative unless all
@@ -29,7 +32,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._common import lookup, materialize
@@ -38,11 +41,9 @@ BLOCK = 512
 
 
 def mixed(hashes, k: int):
-    """Other 64 bits of each hash (the finaliser of SplitMix64); the hash itself for k = 0."""
+    """Other 64 bits of each hash (the finaliser of SplitMix64)."""
     import numpy as np
 
-    if not k:
-        return hashes
     h = hashes + np.uint64((0x9E3779B97F4A7C15 * k) & ((1 << 64) - 1))
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -50,7 +51,7 @@ def mixed(hashes, k: int):
 
 
 def fingerprint_texts(texts: list[str | None], size: int, words64: int = 1):
-    """The fingerprints of some texts: rows of `words64` unsigned 64-bit numbers, of which the first is the fingerprint proper."""
+    """The fingerprints of some texts: rows of `words64` unsigned 64-bit numbers, of which the first is the fingerprint proper; the others count repeated shingles once."""
     import numpy as np
     import xxhash
 
@@ -66,7 +67,7 @@ def fingerprint_texts(texts: list[str | None], size: int, words64: int = 1):
         n = len(words)
         if not n:
             continue
-        total, counts = max(n - size + 1, 1), np.zeros((words64, 64), np.int64)
+        total, counts, seen = max(n - size + 1, 1), np.zeros((words64, 64), np.int64), []
         for first in range(0, total, 65536):
             if n < size:
                 hashes = [hash64(b" ".join(words), 42)]
@@ -80,11 +81,16 @@ def fingerprint_texts(texts: list[str | None], size: int, words64: int = 1):
                 starts = [0, *[e + 1 for e in ends[: last - first - 1]]]
                 hashes = [hash64(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :])]
             plain = np.array(hashes, "<u8")
-            for k in range(words64):
-                raw = mixed(plain, k).view(np.uint8).reshape(-1, 8)
+            counts[0] += np.unpackbits(plain.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            if words64 > 1:
+                seen.append(plain)
+        different = np.unique(np.concatenate(seen)) if seen else []
+        for first in range(0, len(different), 65536):
+            for k in range(1, words64):
+                raw = mixed(different[first : first + 65536], k).view(np.uint8).reshape(-1, 8)
                 counts[k] += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         for k in range(words64):
-            out[at, k] = weights[2 * counts[k] > total].sum(dtype=np.uint64)
+            out[at, k] = weights[2 * counts[k] > (len(different) if k else total)].sum(dtype=np.uint64)
     return out
 
 
@@ -234,7 +240,7 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
 def agreed_links(distinct: DataFrame, radius: int, agree: tuple[int, int]) -> DataFrame:
     """(a, b): links that connect what all pairs would that meet in a bucket, are at most agree[0] bits apart and in all 256 bits at most agree[1].
 
-    `distinct` has fingerprint, f1, f2, f3.
+    `distinct` has fingerprint, f1, f2, f3, each four of them once; a and b are their `whole` bytes.
     """
     reach, bits = agree
 
@@ -254,13 +260,20 @@ def agreed_links(distinct: DataFrame, radius: int, agree: tuple[int, int]) -> Da
         out = []
         for _, members in groups:
             words = np.ascontiguousarray(members).view(np.uint64)
-            out += [(members[i, 0], members[j, 0]) for i, j in spanning_links(words[:, 0], reach, words[:, 1:], bits)]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            nodes = words.astype(">u8")
+            out += [(nodes[i].tobytes(), nodes[j].tobytes()) for i, j in spanning_links(words[:, 0], reach, words[:, 1:], bits)]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    firsts = materialize(distinct.groupBy("fingerprint").agg(F.count("*").alias("_k")), "firsts")
+    close = materialize(in_buckets(buckets(firsts, radius), near, "bucket long, fingerprint long"), "close")
+    alike = firsts.where("_k > 1").select(F.xxhash64(F.lit(-1), "fingerprint").alias("bucket"), "fingerprint")
+    full = close.union(alike).join(distinct.select("fingerprint", "f1", "f2", "f3"), "fingerprint").select("bucket", "fingerprint", "f1", "f2", "f3")
+    return in_buckets(full, found, "a binary, b binary").distinct()
+
 
-    close = materialize(in_buckets(buckets(distinct, radius), near, "bucket long, fingerprint long"), "close")
-    # A fingerprint is in a table once, so no key is hot.
-    whole = close.join(distinct.select("fingerprint", "f1", "f2", "f3"), "fingerprint").select("bucket", "fingerprint", "f1", "f2", "f3")
-    return in_buckets(whole, found, "a long, b long").distinct()
+def whole(words: list[str]) -> Column:
+    """The bytes of several longs, one after the other."""
+    return F.concat(*[F.unhex(F.lpad(F.hex(w), 16, "0")) for w in words])
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -296,15 +309,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, agree: tupl
     """
     longer = [] if agree is None else ["f1", "f2", "f3"]
     prints = materialize(fingerprints(docs, size, 1 + len(longer)), "prints")
-    same = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n"), *[F.min(f).alias(f) for f in longer])
-    distinct = materialize(same, "distinct")
+    words = ["fingerprint", *longer]
+    same = prints.groupBy(*words).agg(F.min("doc_id").alias("least"), F.count("*").alias("_n"))
+    distinct = materialize(same.withColumn("self", whole(words) if longer else F.col("fingerprint")), "distinct")
     found = links(distinct, radius) if agree is None else agreed_links(distinct, radius, agree)
     roots = components(found)
-    classes = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "least", "_n", F.coalesce("root", "fingerprint").alias("root"))
+    classes = distinct.join(roots, distinct["self"] == roots["node"], "left").select(*words, "least", "_n", F.coalesce("root", "self").alias("root"))
     classes = materialize(classes, "classes")
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_r"))
-    named = materialize(lookup(classes, ids, ["root"], "_r", F.col("fingerprint")).select("fingerprint", "_n", "component_id"), "named")
-    return lookup(prints, named, ["fingerprint"], "_n", F.col("doc_id")).select("doc_id", "fingerprint", "component_id")
+    named = materialize(lookup(classes, ids, ["root"], "_r", F.xxhash64(*words)).select(*words, "_n", "component_id"), "named")
+    return lookup(prints, named, words, "_n", F.col("doc_id")).select("doc_id", "fingerprint", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -56,5 +56,26 @@ def test_all_agreeing_pairs_of_buckets(spark):
     values = rows.view(np.int64).tolist()
     distinct = spark.createDataFrame(values, "fingerprint long, f1 long, f2 long, f3 long")
     found = simhash.agreed_links(distinct, 8, (14, 44)).collect()
-    place = {v[0]: i for i, v in enumerate(values)}
-    assert classes(len(rows), [(place[r["a"]], place[r["b"]]) for r in found]) == want
+    place = {row.astype(">u8").tobytes(): i for i, row in enumerate(rows)}
+    assert classes(len(rows), [(place[bytes(r["a"])], place[bytes(r["b"])]) for r in found]) == want
+
+
+def test_equal_first_words_of_different_texts(spark):
+    """A shingle that makes over half of all decides the first word alike; only texts that agree in the rest are one."""
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(7))
+    texts = [" ".join(["same"] * 60 + [word() for _ in range(50)]) for _ in range(6)]
+    texts += [texts[0], " ".join([*texts[0].split()[:-1], "other"])]
+    rows = simhash.fingerprint_texts(texts, 5, 4)
+    assert len(set(rows[:, 0].tolist())) == 1
+    docs = [(i, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 5, 8, (14, 44)).collect()}
+    assert [got[i] for i in range(len(texts))] == [0, 1, 2, 3, 4, 5, 0, 0]
+
+
+def test_equal_first_words_are_linked_by_the_rest(spark):
+    a, b, c = ([7, *[rng.getrandbits(64) for _ in range(3)]] for _ in range(3))
+    d = [7, a[1] ^ 5, a[2], a[3]]
+    rows = np.array([a, b, c, d], np.uint64)
+    distinct = spark.createDataFrame(rows.view(np.int64).tolist(), "fingerprint long, f1 long, f2 long, f3 long")
+    found = simhash.agreed_links(distinct, 8, (14, 44)).collect()
+    assert [{bytes(r["a"]), bytes(r["b"])} for r in found] == [{rows[0].astype(">u8").tobytes(), rows[3].astype(">u8").tobytes()}]
