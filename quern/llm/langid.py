@@ -179,14 +179,15 @@ def annotate(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of `docs`, as they are, whose language can be told."""
+    """The rows of `docs`, as they are, that have a letter, whether or not there was a language to learn; no score rejects any."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, known = batch.column(at), []
             for a in range(0, len(texts), 256):
-                known += [f[0] != UNKNOWN for f in predict(model, texts[a : a + 256].to_pylist())]
+                some = texts[a : a + 256].to_pylist()
+                known += [f[0] != UNKNOWN for f in predict(model, some)] if model["langs"] else [has_letter(t) for t in some]
             yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
