@@ -1,4 +1,4 @@
-"""Exact repeats by distributed prefix doubling over content-defined positions.
+"""Exact repeats by content-defined anchors and hash grouping, in place of prefix doubling.
 
 Every byte covered by a string of `length` bytes that also starts elsewhere, in
 any document, is removed. Plain prefix doubling ranks every byte position at every
