@@ -57,21 +57,48 @@ def rank_starts(hosts: DataFrame, count: str = "rank_count", order: str = "ord")
     return hosts.withColumns({"rank_start": F.coalesce(F.sum(count).over(before), F.lit(0)).cast("long"), "world": F.sum(count).over(W.partitionBy()).cast("long")})
 
 
+#: Rows drawn for each range when bounds are chosen.
+DRAWN = 24
+
+
+def range_of(df: DataFrame, order: tuple[str, ...], ranges: int) -> Column:
+    """Which of `ranges` consecutive ranges of the order a row is in, by bounds that are literals of the plan.
+
+    They are drawn once: a range partitioning that runs twice draws others each
+    time. A row finds its range by halving, so many ranges cost little. DRAWN rows
+    a range come to the driver, of the order's columns only.
+    """
+    keys = df.select(*order)
+    share = min(1.0, 1.2 * DRAWN * ranges / max(1, keys.count()))
+    drawn = (keys.sample(share, seed=7) if share < 1 else keys).orderBy(*order).collect()
+    bounds = [drawn[len(drawn) * i // ranges] for i in range(1, ranges)] if drawn else []
+    if not bounds:
+        return F.lit(0)
+    kinds = [f.dataType for f in keys.schema.fields]
+    listed = F.array(*[F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(row, kinds, order)]) for row in bounds])
+    key = F.struct(*[F.col(n).alias(n) for n in order])
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(listed, at + step - 1) <= key), at + step).otherwise(at))
+
+
 def with_ordinal(df: DataFrame, *order: str, name: str = "ord", partitions: int | None = None) -> DataFrame:
     """Rows numbered from 0 in the total order of `order` (which must be unique), sorted in parallel.
 
-    Ranges are sorted each by itself; only how many rows each holds comes to the
-    driver. The partition count is explicit, so nothing merges ranges in between.
+    A row's number is the rows of all lesser ranges and its place in its own. Both
+    follow from its order and literals of the plan, so a part that is run again
+    gets the same numbers. Only a count per range comes to the driver.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    ranges = min(4 * n, 4096)
+    placed = df.withColumn("_p", range_of(df, order, ranges))
     counts = dict(placed.groupBy("_p").count().collect())
     starts, total = [], 0
-    for p in range(n):
-        starts.append(total)
+    for p in range(ranges):
+        starts.append(str(total))
         total += counts.get(p, 0)
-    offsets = df.sparkSession.createDataFrame(list(enumerate(starts)), "_p int, _start long")
-    return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_start") + F.col("_i")).drop("_p", "_i", "_start")
+    before = F.get(F.split(F.lit(",".join(starts)), ",").cast("array<bigint>"), F.col("_p"))
+    place = F.row_number().over(W.partitionBy("_p").orderBy(*order))
+    return placed.withColumn(name, before + place - 1).drop("_p")
 
 
 def chunk_of(ordinal: Column, size: int = 4) -> Column:
