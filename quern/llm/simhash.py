@@ -12,15 +12,10 @@ fewer tables. Members of a bucket are then compared in all their bits.
 
 Equal fingerprints are joined first, so a bucket holds different fingerprints
 only, and only the links that span a bucket leave it: never all of its pairs. A
-large bucket is compared block by block, in memory that doesn't depend on the
-number of its pairs. With `agree`, links may reach further than the radius, and
-count where the documents' longer fingerprints, of 256 bits, agree too; that is
-decided of each pair before links are chosen, so a pair that fails takes no other's
-place. The tables carry the short fingerprints only; longer ones are looked up for
-members of a bucket that have another in reach there. Documents are then one from
-the start only if all 256 bits are equal; equal short fingerprints meet in a bucket
-of their own and are linked if the rest agrees. The longer words count each different
-shingle once, so a shingle that makes over half of a text decides the first word only.
+bucket of more than HELD fingerprints isn't compared by one task: its members go
+through a second covering, of the bits its table leaves free, which splits it
+without losing a pair. For radius 2 that leaves 13 free bits at most, hence at most
+2^13 members of any bucket, however many documents meet in a hot one.
 
 Null and empty texts have fingerprint zero, which links as any other does. Rows
 with a null doc_id get a component but are never its representative unless all
@@ -37,21 +32,13 @@ from pyspark.sql import functions as F
 
 from quern.llm._common import lookup, materialize
 
-BLOCK = 512
+#: Members of a bucket that one task holds.
+HELD = 8192
+BLOCK = 256
 
 
-def mixed(hashes, k: int):
-    """Other 64 bits of each hash (the finaliser of SplitMix64)."""
-    import numpy as np
-
-    h = hashes + np.uint64((0x9E3779B97F4A7C15 * k) & ((1 << 64) - 1))
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def fingerprint_texts(texts: list[str | None], size: int, words64: int = 1):
-    """The fingerprints of some texts: rows of `words64` unsigned 64-bit numbers, of which the first is the fingerprint proper; the others count repeated shingles once."""
+def fingerprint_texts(texts: list[str | None], size: int):
+    """The fingerprints of some texts, unsigned 64-bit numbers."""
     import numpy as np
     import xxhash
 
@@ -59,7 +46,7 @@ def fingerprint_texts(texts: list[str | None], size: int, words64: int = 1):
     spaces = bytes.maketrans(b"\t\n\v\f\r", b"     ")
     table = bytes(spaces[lower[i]] for i in range(256))
     hash64 = xxhash.xxh64_intdigest
-    out = np.zeros((len(texts), words64), np.uint64)
+    out = np.zeros(len(texts), np.uint64)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for at, text in enumerate(texts):
         words = (text or "").encode("utf-8", "surrogatepass").translate(table).split(b" ")
@@ -67,7 +54,7 @@ def fingerprint_texts(texts: list[str | None], size: int, words64: int = 1):
         n = len(words)
         if not n:
             continue
-        total, counts, seen = max(n - size + 1, 1), np.zeros((words64, 64), np.int64), []
+        total, counts = max(n - size + 1, 1), np.zeros(64, np.int64)
         for first in range(0, total, 65536):
             if n < size:
                 hashes = [hash64(b" ".join(words), 42)]
@@ -80,33 +67,23 @@ def fingerprint_texts(texts: list[str | None], size: int, words64: int = 1):
                     ends.append(end)
                 starts = [0, *[e + 1 for e in ends[: last - first - 1]]]
                 hashes = [hash64(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :])]
-            plain = np.array(hashes, "<u8")
-            counts[0] += np.unpackbits(plain.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            if words64 > 1:
-                seen.append(plain)
-        different = np.unique(np.concatenate(seen)) if seen else []
-        for first in range(0, len(different), 65536):
-            for k in range(1, words64):
-                raw = mixed(different[first : first + 65536], k).view(np.uint8).reshape(-1, 8)
-                counts[k] += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        for k in range(words64):
-            out[at, k] = weights[2 * counts[k] > (len(different) if k else total)].sum(dtype=np.uint64)
+            raw = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[at] = weights[2 * counts > total].sum(dtype=np.uint64)
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 3, words64: int = 1) -> DataFrame:
-    """doc_id and fingerprint (a long with the 64 bits) of each row, and more of them in f1, f2, ... where asked for."""
-    names = ["fingerprint", *[f"f{k}" for k in range(1, words64)]]
+def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
+    """doc_id and fingerprint (a long with the 64 bits) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            found = fingerprint_texts(batch.column(1).to_pylist(), size, words64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in found.T]], names=["doc_id", *names])
+            found = fingerprint_texts(batch.column(1).to_pylist(), size).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fingerprint"])
 
-    schema = ", ".join(f"{n} long" for n in ["doc_id", *names])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint long")
 
 
 def cover(bits: list[int], radius: int) -> list[int]:
@@ -115,110 +92,109 @@ def cover(bits: list[int], radius: int) -> list[int]:
     return [sum(1 << b for i, b in enumerate(bits) if bin((i % (n - 1) + 1) & m).count("1") % 2) for m in range(1, n)]
 
 
-def masks(radius: int) -> list[int]:
-    """The covering tables' masks of the 64 bits."""
-    if radius <= 4:
+def masks(radius: int, parts: int | None = None) -> list[int]:
+    """The covering tables' masks of the 64 bits, covered at once or in `parts` (1 or 3)."""
+    if (parts or (1 if radius <= 4 else 3)) == 1:
         return cover(list(range(64)), radius)
     return [m for part in range(3) for m in cover([b for b in range(64) if b % 3 != part], 2 * radius // 3)]
 
 
-def spanning_links(values, reach: int, longer=None, bits: int = 0) -> list[tuple[int, int]]:
-    """Links (i, j) that join the members of one bucket exactly as all its pairs at most `reach` bits apart would, of each two blocks nearest first.
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
 
-    With `longer`, rows of more words of each member, only pairs count of which all words differ in at most `bits`.
+def spanning_links(words, most: int) -> list[tuple[int, int]]:
+    """Links (i, j) that join the members of one bucket exactly as all its pairs at most `most` bits apart would.
+
+    `words` has a row of unsigned 64-bit numbers for each member. Components are
+    grown one by one, and what is reached is looked at no more, so members that are
+    all close to each other cost a pass and not all their pairs.
     """
     import numpy as np
 
-    n = len(values)
-    parent = np.arange(n)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = []
-    for a in range(0, n, BLOCK):
-        for b in range(a, n, BLOCK):
-            apart = np.bitwise_count(values[a : a + BLOCK, None] ^ values[None, b : b + BLOCK])
-            if longer is not None and (apart <= reach).any():
-                total = apart.astype(np.int64)
-                for k in range(longer.shape[1]):
-                    total += np.bitwise_count(longer[a : a + BLOCK, None, k] ^ longer[None, b : b + BLOCK, k])
-                apart = np.where(total <= bits, apart, 255)
-            for distance in np.unique(apart[apart <= reach]):
-                near = apart <= distance
-                # Every member takes one partner from another component, until there is none: a few rounds.
-                while True:
-                    ours = np.array([root(i) for i in range(a, min(n, a + BLOCK))])
-                    theirs = np.array([root(i) for i in range(b, min(n, b + BLOCK))])
-                    other = near & (ours[:, None] != theirs[None, :])
-                    from_ = np.flatnonzero(other.any(axis=1))
-                    if not len(from_):
-                        break
-                    for i, j in zip(from_.tolist(), other[from_].argmax(axis=1).tolist()):
-                        x, y = root(a + i), root(b + j)
-                        if x != y:
-                            parent[max(x, y)] = min(x, y)
-                            links.append((a + i, b + j))
+    def apart(some, others):
+        out = np.zeros((len(some), len(others)), np.uint16)
+        for k in range(words.shape[1]):
+            out += np.bitwise_count(words[some, k][:, None] ^ words[others, k][None, :])
+        return out
+
+    if len(words) == 2:
+        return [(0, 1)] if apart(np.array([0]), np.array([1]))[0, 0] <= most else []
+    links: list[tuple[int, int]] = []
+    left = np.arange(len(words))
+    while len(left) > 1:
+        edge, left = left[:1], left[1:]
+        while len(edge) and len(left):
+            near = apart(edge[:BLOCK], left) <= most
+            met = near.any(axis=0)
+            links += zip(edge[:BLOCK][near.argmax(axis=0)[met]].tolist(), left[met].tolist())
+            edge, left = np.concatenate([edge[BLOCK:], left[met]]), left[~met]
     return links
 
 
-def paired(values, reach: int):
-    """Which members of one bucket have another at most `reach` bits apart."""
-    import numpy as np
+def bucket_name(table: int | Column, *parts: Column) -> Column:
+    """A bucket's name: its table in the first eight bits, a hash in the others.
 
-    n = len(values)
-    out = np.zeros(n, bool)
-    for a in range(0, n, BLOCK):
-        for b in range(a, n, BLOCK):
-            near = np.bitwise_count(values[a : a + BLOCK, None] ^ values[None, b : b + BLOCK]) <= reach
-            if a == b:
-                np.fill_diagonal(near, False)
-            out[a : a + BLOCK] |= near.any(axis=1)
-            out[b : b + BLOCK] |= near.any(axis=0)
-    return out
+    Should two buckets share a name they are compared together, which changes nothing.
+    """
+    of = F.lit(table) if isinstance(table, int) else table
+    return F.shiftleft(of.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*parts), 8))
 
 
 def buckets(distinct: DataFrame, radius: int) -> DataFrame:
     """(bucket, fingerprint): each fingerprint in every covering table."""
-    tables = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
-    # A bucket's name is a hash: should two buckets share one they are compared together, which changes nothing.
-    named = [F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(m))) for i, m in enumerate(tables)]
+    named = [bucket_name(i, F.col("fingerprint").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks(radius))]
     return distinct.select(F.explode(F.array(*named)).alias("bucket"), "fingerprint")
 
 
-def in_buckets(keyed: DataFrame, found: Callable[[list], pa.RecordBatch], schema: str) -> DataFrame:
-    """`found` of lists of (bucket, members) with two members at least; `keyed` is the bucket and one column of longs, or several, of which members have rows."""
+def split(large: DataFrame, radius: int) -> DataFrame:
+    """(bucket, fingerprint) of members of large buckets, by coverings of the bits that each bucket's table doesn't compare."""
+    second = [[signed(m) for m in cover([b for b in range(64) if not table >> b & 1], radius)] for table in masks(radius)]
+    listed = F.array(*[F.array(*[F.lit(m).cast("long") for m in ms]) for ms in second])
+    own = F.get(listed, F.shiftrightunsigned("bucket", 56).cast("int"))
+    each = large.select("bucket", "fingerprint", F.posexplode(own).alias("_j", "_m"))
+    return each.select(F.xxhash64("bucket", "_j", F.col("fingerprint").bitwiseAND(F.col("_m"))).alias("bucket"), "fingerprint")
+
+
+def in_buckets(keyed: DataFrame, found: Callable[[list], pa.RecordBatch], schema: str, beyond: Callable | None = None) -> DataFrame:
+    """`found` of lists of (bucket, members) with two members at least; `keyed` is the bucket and one column, or several, of which members have rows.
+
+    With `beyond`, the members of a bucket of more than HELD are passed to that as
+    they come, as (bucket, members), and never held together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         # The last bucket of a batch may go on in the next one.
-        name, held = None, []
+        name, held, large = None, [], False
         for batch in batches:
-            bucket, *columns = (c.to_numpy() for c in batch.columns)
+            bucket, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             value = columns[0] if len(columns) == 1 else np.stack(columns, axis=1)
             if not len(bucket):
                 continue
             edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
             groups = []
             if name is not None and bucket[0] != name:
-                groups.append((name, np.concatenate(held)))
-                held = []
+                if not large:
+                    groups.append((name, np.concatenate(held)))
+                held, large = [], False
             several = np.flatnonzero(np.diff(edges) > 1).tolist()
             for g in sorted({0, len(edges) - 2, *several}):
                 members = value[edges[g] : edges[g + 1]]
-                if g == 0:
+                was, large = large and g == 0, large and g == 0
+                if g == 0 and not was:
                     members = np.concatenate([*held, members])
                     held = []
+                if was or (beyond and len(members) > HELD):
+                    yield beyond(bucket[edges[g]], members)
+                    large, members = True, members[:0]
                 if g == len(edges) - 2:
                     name, held = bucket[-1], [members.copy()]
-                else:
+                elif not large:
                     groups.append((bucket[edges[g]], members))
             yield found([x for x in groups if len(x[1]) > 1])
-        if held:
+        if held and not large:
             yield found([x for x in [(name, np.concatenate(held))] if len(x[1]) > 1])
 
     n = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -227,53 +203,22 @@ def in_buckets(keyed: DataFrame, found: Callable[[list], pa.RecordBatch], schema
 
 def links(distinct: DataFrame, radius: int) -> DataFrame:
     """(a, b): links between the different fingerprints of `distinct` that connect what all pairs within the radius would."""
+    names, kind = ["a", "b", "bucket", "fingerprint"], pa.int64()
 
     def found(groups: list) -> pa.RecordBatch:
         import numpy as np
 
-        out = [(members[i], members[j]) for _, members in groups for i, j in spanning_links(members.view(np.uint64), radius)]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        out = [(members[i], members[j]) for _, members in groups for i, j in spanning_links(members.view(np.uint64)[:, None], radius)]
+        return pa.RecordBatch.from_arrays([*[pa.array([x[k] for x in out], kind) for k in (0, 1)], *[pa.nulls(len(out), kind)] * 2], names=names)
 
-    return in_buckets(buckets(distinct, radius), found, "a long, b long").distinct()
+    def beyond(bucket: int, members) -> pa.RecordBatch:
+        n = len(members)
+        return pa.RecordBatch.from_arrays([*[pa.nulls(n, kind)] * 2, pa.array([bucket] * n, kind), pa.array(members, kind)], names=names)
 
-
-def agreed_links(distinct: DataFrame, radius: int, agree: tuple[int, int]) -> DataFrame:
-    """(a, b): links that connect what all pairs would that meet in a bucket, are at most agree[0] bits apart and in all 256 bits at most agree[1].
-
-    `distinct` has fingerprint, f1, f2, f3, each four of them once; a and b are their `whole` bytes.
-    """
-    reach, bits = agree
-
-    def near(groups: list) -> pa.RecordBatch:
-        import numpy as np
-
-        names, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for bucket, members in groups:
-            some = members[paired(members.view(np.uint64), reach)]
-            names.append(np.full(len(some), bucket, np.int64))
-            values.append(some)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, values)], names=["bucket", "fingerprint"])
-
-    def found(groups: list) -> pa.RecordBatch:
-        import numpy as np
-
-        out = []
-        for _, members in groups:
-            words = np.ascontiguousarray(members).view(np.uint64)
-            nodes = words.astype(">u8")
-            out += [(nodes[i].tobytes(), nodes[j].tobytes()) for i, j in spanning_links(words[:, 0], reach, words[:, 1:], bits)]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
-    firsts = materialize(distinct.groupBy("fingerprint").agg(F.count("*").alias("_k")), "firsts")
-    close = materialize(in_buckets(buckets(firsts, radius), near, "bucket long, fingerprint long"), "close")
-    alike = firsts.where("_k > 1").select(F.xxhash64(F.lit(-1), "fingerprint").alias("bucket"), "fingerprint")
-    full = close.union(alike).join(distinct.select("fingerprint", "f1", "f2", "f3"), "fingerprint").select("bucket", "fingerprint", "f1", "f2", "f3")
-    return in_buckets(full, found, "a binary, b binary").distinct()
-
-
-def whole(words: list[str]) -> Column:
-    """The bytes of several longs, one after the other."""
-    return F.concat(*[F.unhex(F.lpad(F.hex(w), 16, "0")) for w in words])
+    schema = "a long, b long, bucket long, fingerprint long"
+    first = materialize(in_buckets(buckets(distinct, radius), found, schema, beyond), "links")
+    again = in_buckets(split(first.where("bucket is not null").select("bucket", "fingerprint"), radius), found, schema)
+    return first.where("bucket is null").union(again).select("a", "b").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -301,42 +246,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, agree: tuple[int, int] | None = None) -> DataFrame:
-    """doc_id, fingerprint (long) and component_id, the least doc_id that links reach, of each row.
-
-    `agree` is (reach, bits): links of at most `reach` bits in the fingerprint count
-    if the fingerprints of 256 bits differ in at most `bits`.
-    """
-    longer = [] if agree is None else ["f1", "f2", "f3"]
-    prints = materialize(fingerprints(docs, size, 1 + len(longer)), "prints")
-    words = ["fingerprint", *longer]
-    same = prints.groupBy(*words).agg(F.min("doc_id").alias("least"), F.count("*").alias("_n"))
-    distinct = materialize(same.withColumn("self", whole(words) if longer else F.col("fingerprint")), "distinct")
-    found = links(distinct, radius) if agree is None else agreed_links(distinct, radius, agree)
-    roots = components(found)
-    classes = distinct.join(roots, distinct["self"] == roots["node"], "left").select(*words, "least", "_n", F.coalesce("root", "self").alias("root"))
-    classes = materialize(classes, "classes")
+def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
+    """doc_id, fingerprint (long) and component_id, the least doc_id that links reach, of each row."""
+    prints = materialize(fingerprints(docs, size), "prints")
+    distinct = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n")), "distinct")
+    roots = components(links(distinct, radius))
+    classes = materialize(distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "least", "_n", F.coalesce("root", "fingerprint").alias("root")), "classes")
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_r"))
-    named = materialize(lookup(classes, ids, ["root"], "_r", F.xxhash64(*words)).select(*words, "_n", "component_id"), "named")
-    return lookup(prints, named, words, "_n", F.col("doc_id")).select("doc_id", "fingerprint", "component_id")
+    named = materialize(lookup(classes, ids, ["root"], "_r", F.col("fingerprint")).select("fingerprint", "_n", "component_id"), "named")
+    return lookup(prints, named, ["fingerprint"], "_n", F.col("doc_id")).select("doc_id", "fingerprint", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The fingerprint as 16 hexadecimal digits."""
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, size: int = 5, radius: int = 8, agree: tuple[int, int] | None = (14, 44)) -> DataFrame:
-    """The rows of `docs` that stay when one of each component does: that of the least doc_id.
-
-    The defaults stand for a similarity of 0.8 of five-word shingles: 44 bits of 256
-    differ where the angle between two documents has a cosine of 0.86.
-
-    Of rows that agree in doc_id and text one stays. Rows with a null doc_id can't
-    be told apart by it, so each text of theirs stays once.
-    """
-    found = near_duplicates(docs, size, radius, agree).groupBy("doc_id").agg(F.count("*").alias("__quern_rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
-    found = materialize(found.where("_stays or doc_id is null").select(F.col("doc_id").alias("__quern_id"), "__quern_rows"), "stays")
-    same = docs["doc_id"].eqNullSafe(F.col("__quern_id"))
-    once = docs.join(found.where("__quern_rows = 1"), same, "left_semi")
-    return once.union(docs.join(found.where("__quern_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -169,7 +169,39 @@ def test_covering_and_links():
             p[max(f(i), f(j))] = min(f(i), f(j))
         return [f(i) for i in range(len(values))]
 
-    assert classes(simhash.spanning_links(values, 2)) == classes(want)
+    assert classes(simhash.spanning_links(values[:, None], 2)) == classes(want)
+
+
+def test_a_hot_bucket(spark):
+    """More fingerprints in one bucket than a task holds: they are split by a second covering, and no link is lost."""
+    table = simhash.masks(2)[0]
+    free = [b for b in range(64) if not table >> b & 1]
+    base = rng.getrandbits(64)
+    values = set()
+    while len(values) < simhash.HELD + 3000:
+        v = base ^ sum(1 << b for b in rng.sample(free, rng.randrange(len(free))))
+        values |= {v, v ^ (1 << rng.choice(free)), v ^ (3 << 20)}
+    values = np.array(sorted(values), np.uint64)
+    parent = list(range(len(values)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(len(values)):
+        for j in np.flatnonzero(np.bitwise_count(values[i] ^ values[:i]) <= 2).tolist():
+            x, y = sorted((root(i), root(j)))
+            parent[y] = x
+    found = simhash.links(spark.createDataFrame([(v,) for v in values.view(np.int64).tolist()], "fingerprint long"), 2).collect()
+    place = {v: i for i, v in enumerate(values.view(np.int64).tolist())}
+    want = [root(i) for i in range(len(values))]
+    parent = list(range(len(values)))
+    for r in found:
+        x, y = sorted((root(place[r["a"]]), root(place[r["b"]])))
+        parent[y] = x
+    assert [root(i) for i in range(len(values))] == want and len(set(want)) > 1
 
 
 def test_components_of_a_chain(spark):
