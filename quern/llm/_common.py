@@ -37,6 +37,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A stored table is broadcast up to this size, counted beforehand, and shuffled beyond.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(table: DataFrame, size: Column) -> DataFrame:
+    """`table`, which must be stored, to be broadcast if the sum of `size` over its rows is small; as it is otherwise."""
+    total = table.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(table) if total <= BROADCAST_BYTES else table
+
+
+def text_key(text: Column) -> list[Column]:
+    """The 128-bit name of a text, t1 and t2; null is named as empty."""
+    body = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(7), body).alias("t2")]
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, spread: Column, hot: int = 200_000, how: str = "inner") -> DataFrame:
     """`rows` joined to `table`, which has one row per key, without a hot key meeting in one task.
 

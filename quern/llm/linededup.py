@@ -16,12 +16,13 @@ doesn't start another line.
 
 `drop_runs` does that. `drop_repeats` is the coarser rule of content-defined chunks:
 a rolling hash over the last `span` line hashes closes a chunk where it is 0 modulo
-`divisor`, a chunk has at most `longest` lines, and only whole chunks are compared,
-so that short runs and the edges of long ones stay.
+`divisor`, and only whole chunks are compared, so that short runs and the edges of
+long ones stay.
 
-Candidates share a 128-bit hash; what is removed was grouped by its very bytes
-before, so different lines are never taken for one another. (Seeds of three and
-more lines are compared by SHA-256, as their bytes would grow by the square.)
+First the seeds' 128-bit hashes are counted, which is all that is shuffled of most.
+Of those that repeat the very bytes are compared before anything is removed, so
+different lines are never taken for one another. (Seeds of three and more lines are
+compared by SHA-256, as their bytes would grow by the square.)
 
 A null text stays null, an empty one empty; a text all of which goes becomes
 empty. Repeated rows of one doc_id count as one document: their first copies stay
@@ -38,12 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm._common import lookup, materialize
+from quern.llm._common import lookup, materialize, small, text_key
 
-FOUND = "doc_id long, low long, high long, chunk string"
-
-
-def chunks(text: str, span: int = 3, divisor: int = 4, longest: int = 64) -> list[tuple[str, int]]:
+def chunks(text: str, span: int = 3, divisor: int = 4) -> list[tuple[str, int]]:
     """The chunks of a text, which concatenated are the text, with their numbers of lines."""
     import xxhash
 
@@ -57,7 +55,7 @@ def chunks(text: str, span: int = 3, divisor: int = 4, longest: int = 64) -> lis
     for i, line in enumerate(lines):
         hashes.append(xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")))
         rolling = (rolling * base + hashes[i] - (hashes[i - span] * power if i >= span else 0)) & mask
-        if i == last or (rolling >> 40) % divisor == 0 or i - start + 1 == longest:
+        if i == last or (rolling >> 40) % divisor == 0:
             out.append(("\n".join(lines[start : i + 1]) + ("\n" if i < last else ""), i - start + 1))
             start = i + 1
     return out
@@ -111,37 +109,81 @@ def seed_keys(text: str) -> list[str]:
     return [key for _, _, key in seeds(text)]
 
 
-def repeated(docs: DataFrame, keys: Callable[[str], list[str]] = chunk_keys) -> DataFrame:
-    """(doc_id, low, high, first): the `keys` of each document that other places repeat; `first` where its own first copy stays."""
+def places(docs: DataFrame, keys: Callable[[str], list[str]]) -> DataFrame:
+    """(id, t1, t2, low, high, copies): the names of each text's `keys`; t1 and t2 name the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        names = ["doc_id", "low", "high", "copies", "chunk"]
+        names = ["id", "t1", "t2", "low", "high", "copies"]
+        kinds = [pa.int64()] * 6
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            held = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own: dict[tuple[int, int], list] = {}
-                for key in keys(text.as_py() or ""):
-                    own.setdefault(name(key), [0, key])[0] += 1
-                for (low, high), (copies, chunk) in own.items():
-                    for column, value in zip(rows, (doc_id, low, high, copies, chunk)):
+            rows: list[list] = [[] for _ in names]
+            for doc_id, t1, t2, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
+                own: dict[tuple[int, int], int] = {}
+                for key in keys(text.as_py()):
+                    which = name(key)
+                    own[which] = own.get(which, 0) + 1
+                for (low, high), copies in own.items():
+                    for column, value in zip(rows, (doc_id, t1, t2, low, high, copies)):
                         column.append(value)
-                    held += len(chunk)
-                if held > 8_000_000:
+                if len(rows[0]) > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
-                    rows, held = [[], [], [], [], []], 0
+                    rows = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").mapInArrow(run, "doc_id long, low long, high long, copies long, chunk string")
-    # By the very bytes; copies are combined before the shuffle.
-    by_bytes = found.groupBy("low", "high", "chunk").agg(F.min("doc_id").alias("keeper"), F.sum("copies").alias("n"), F.count("*").alias("rows"))
-    several = materialize(by_bytes.where("n > 1").select("low", "high", "keeper", "rows"), "chunks")
+    source = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), *text_key(F.col("text")), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, "id long, t1 long, t2 long, low long, high long, copies long")
+
+
+def with_repeats(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """`docs` joined to `lists` (__quern_id, __quern_t1, __quern_t2, __quern_repeats), by doc_id and text."""
+    t1, t2 = text_key(docs["text"])
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__quern_id")) & (t1 == F.col("__quern_t1")) & (t2 == F.col("__quern_t2"))
+    return docs.join(small(lists, F.size("__quern_repeats") * 40 + 60), same, how).select(*docs.columns, "__quern_repeats")
+
+
+def unequal(docs: DataFrame, lists: DataFrame, keys: Callable[[str], list[str]]) -> DataFrame:
+    """(low, high) of `lists` that stand for different bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["low", "high", "chunk"]
+        for batch in batches:
+            rows: list[list] = [[], [], []]
+            held = 0
+            seen: set[str] = set()
+            for text, repeats in zip(*batch.columns):
+                known = {(r["low"], r["high"]) for r in repeats.as_py()}
+                for key in keys(text.as_py()):
+                    if key in seen or (which := name(key)) not in known:
+                        continue
+                    seen.add(key)
+                    for column, value in zip(rows, (*which, key)):
+                        column.append(value)
+                    held += len(key)
+                if held > 8_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.string()))], names=names)
+                    rows, held, seen = [[], [], []], 0, set()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.string()))], names=names)
+
+    listed = with_repeats(docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")), lists, "inner").select("text", "__quern_repeats")
+    different = listed.mapInArrow(run, "low long, high long, chunk string").groupBy("low", "high", "chunk").agg(F.lit(1).alias("_"))
+    return different.groupBy("low", "high").agg(F.count("*").alias("_k")).where("_k > 1").select("low", "high")
+
+
+def repeated(docs: DataFrame, keys: Callable[[str], list[str]] = chunk_keys) -> DataFrame:
+    """(__quern_id, __quern_t1, __quern_t2, __quern_repeats): of each document with any the `keys` that other places repeat, each (low, high, first); `first` where its own first copy stays."""
+    every = materialize(places(docs, keys), "places")
+    counted = every.groupBy("low", "high").agg(F.min("id").alias("keeper"), F.sum("copies").alias("n"), F.count("*").alias("rows")).where("n > 1")
+    met = lookup(every.drop("copies"), counted.drop("n"), ["low", "high"], "rows", F.xxhash64("id", "t1"))
+    repeat = F.struct("low", "high", F.col("id").eqNullSafe(F.col("keeper")).alias("first"))
+    listed = met.groupBy(F.col("id").alias("__quern_id"), F.col("t1").alias("__quern_t1"), F.col("t2").alias("__quern_t2")).agg(F.collect_set(repeat).alias("__quern_repeats"))
+    listed = materialize(listed, "repeats")
+    unsure = materialize(unequal(docs, listed, keys), "unequal")
+    if unsure.isEmpty():
+        return listed
     # Different bytes of one hash, should they ever occur, are left alone.
-    sure = several.groupBy("low", "high").agg(F.count("*").alias("_k"), F.first("keeper").alias("keeper"), F.sum("rows").alias("_n")).where("_k = 1")
-    places = found.select("doc_id", "low", "high")
-    met = lookup(places, sure, ["low", "high"], "_n", F.col("doc_id"))
-    return met.select("doc_id", "low", "high", F.col("doc_id").eqNullSafe(F.col("keeper")).alias("first"))
+    each = listed.select("__quern_id", "__quern_t1", "__quern_t2", F.explode("__quern_repeats").alias("r"))
+    sure = each.join(unsure, (F.col("r.low") == unsure["low"]) & (F.col("r.high") == unsure["high"]), "left_anti")
+    return materialize(sure.groupBy("__quern_id", "__quern_t1", "__quern_t2").agg(F.collect_set("r").alias("__quern_repeats")), "repeats")
 
 
 def without_chunks(text: str, known: dict[tuple[int, int], bool]) -> tuple[str, int]:
@@ -180,9 +222,8 @@ def without_runs(text: str, known: dict[tuple[int, int], bool]) -> tuple[str, in
 
 def drop(docs: DataFrame, keys: Callable, without: Callable) -> DataFrame:
     """`docs` with what is repeated of `keys` taken out of the texts by `without`, and n_lines_removed, instead of a column of that name."""
-    found = materialize(repeated(docs, keys), "repeats").groupBy("doc_id").agg(F.collect_set(F.struct("low", "high", "first")).alias("__quern_repeats")).withColumnRenamed("doc_id", "__quern_id")
     docs = docs.drop("n_lines_removed")
-    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("__quern_id")), "left").select(*docs.columns, "__quern_repeats")
+    joined = with_repeats(docs, repeated(docs, keys), "left")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines_removed", T.LongType())])
     at, last = docs.columns.index("text"), len(docs.columns)
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql.functions import lit as docs_lit
+
 import corpus_pipeline
 from quern.llm import linededup, queries
 from quern.sources import read_table
@@ -59,3 +61,22 @@ def test_query_and_stage(spark):
     assert {r["doc_id"]: r["n_lines_removed"] for r in queries.op5_line_dedup(spark, SF).collect()} == {i: n for i, (_, n) in want.items()}
     kept = corpus_pipeline.line_dedup(spark, docs, SF)
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept.collect()} == {i: (t, len(t)) for i, (t, _) in want.items() if t}
+
+
+def test_null_ids_and_repeated_rows(spark):
+    """Rows without a doc_id are documents of their own text; repeated rows of one doc_id count as one document."""
+    rows = [(None, "k\nl\nown 1", "x"), (None, "k\nl\nown 2", "y"), (5, "k\nl\nown 3", "x"), (6, "k\nl\nown 4", "x"), (5, "k\nl\nown 3", "z"), (None, None, "x"), (7, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, low string").withColumns({"n_lines_removed": docs_lit(0), "t1": docs_lit(1), "id": docs_lit(2)})
+    got = sorted((str(r["doc_id"]), str(r["text"]), r["low"], r["n_lines_removed"]) for r in linededup.drop_runs(docs).collect())
+    assert got == sorted([("None", "own 1", "x", 2), ("None", "own 2", "y", 2), ("5", "k\nl\nown 3", "x", 0), ("6", "own 4", "x", 2), ("5", "k\nl\nown 3", "z", 0), ("None", "None", "x", 0), ("7", "", "x", 0)])
+    assert linededup.drop_runs(docs.where("false")).count() == 0
+
+
+def test_different_bytes_of_one_hash_stay(spark, monkeypatch):
+    lists = spark.createDataFrame([(0, [(1, 2, True)]), (1, [(1, 2, False)])], "i long, r array<struct<low:long,high:long,first:boolean>>")
+    docs = spark.createDataFrame([(0, "a\nb"), (1, "c\nd")], "doc_id long, text string")
+    keyed = docs.join(lists, docs["doc_id"] == lists["i"]).select("i", *linededup.text_key(docs["text"]), "r").toDF("__quern_id", "__quern_t1", "__quern_t2", "__quern_repeats")
+
+    monkeypatch.setattr(linededup, "name", lambda key: (1, 2))
+    assert [tuple(r) for r in linededup.unequal(docs, keyed, linededup.seed_keys).collect()] == [(1, 2)]
+    assert {r["text"] for r in linededup.drop_runs(docs).collect()} == {"a\nb", "c\nd"}
