@@ -6,9 +6,10 @@ machine per family against the rest picks the language family; within it one per
 pair of languages votes, ties going to the larger sum of margins. A language that
 FAMILIES doesn't name is a family of its own.
 
-The machines are fitted on a bounded sample of labelled rows: of the 200 most
-frequent languages at most `sample` rows, shared evenly, those of the least hash of
-doc_id. The rest of the corpus is only scored.
+The machines are fitted on a bounded sample of labelled rows: `sample` rows shared
+evenly by all languages, but LEAST of a language at least, those of the least hash
+of doc_id. Every language is learnt, however many there are. The rest of the corpus
+is only scored.
 
 A text that is null or has no letter is `und`, score 0, as is every text where
 there are no rows to learn from. Rows with a null lang or doc_id teach nothing;
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIM = 4096
+#: Rows that a language is learnt from, if it has them, however many languages share the sample.
+LEAST = 30
 UNKNOWN = "und"
 FAMILIES = {
     **dict.fromkeys("en de nl sv da no nb nn is af fy lb yi".split(), "germanic"),
@@ -88,15 +91,15 @@ def svm(x, y, c: float = 4.0, rounds: int = 20):
     return w
 
 
-def fit(labelled: DataFrame, sample: int = 3000, most: int = 200) -> dict:
-    """A model of the `most` frequent languages, from rows of doc_id, text and lang, all of which may be learnt from."""
+def fit(labelled: DataFrame, sample: int = 3000) -> dict:
+    """A model of all languages, from rows of doc_id, text and lang, all of which may be learnt from."""
     import numpy as np
 
     known = labelled.where("lang is not null and text is not null and doc_id is not null")
-    counted = known.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(most).collect()
+    counted = known.groupBy("lang").agg(F.count("*").alias("_n")).orderBy("lang").collect()
     if not counted:
         return {"langs": [], "families": []}
-    each = max(1, sample // len(counted))
+    each = max(LEAST, sample // len(counted))
     # Few rows pass the hash filter, so that ranks are made of these only.
     counts = labelled.sparkSession.createDataFrame([(r["lang"], r["_n"]) for r in counted], "lang string, _n long")
     order = F.xxhash64("doc_id")

@@ -7,16 +7,19 @@ frames are self-contained baseline JPEGs in an AVI file with an idx1 index.
 
 read_film() parses RIFF, takes the frames by idx1 (or by walking `movi` where there
 is none), and decodes the entropy-coded data of all frames of a batch in step:
-the k-th symbol of every frame, or restart interval, at once. It takes any
-one-component baseline JPEG with any tables and restart intervals; frames without
-Huffman tables get the standard ones, as is the custom for motion-JPEG.
+the k-th symbol of every frame, or restart interval, at once. It takes baseline
+JPEGs of one component or several in one scan, with any sampling, tables and restart
+intervals; frames without Huffman tables get the standard ones, as is the custom for
+motion-JPEG. Of colour frames luma is kept. An empty chunk repeats the frame before.
 
 Shots: a frame's luma histogram is compared to the one before; a cut is where the
 difference is a local maximum above the mean and `factor` deviations of its
-surroundings. Each shot is a clip row with start and end seconds.
+surroundings. Each shot is a clip row with start and end seconds at the film's rate.
 
-A null text or payload is an empty one, stored as 192 spaces. Equal bytes give
-equal films. Repeated rows each stay. Extra columns are not read.
+A null text is an empty one, stored as 192 spaces. Equal bytes give equal films. A
+film that can't be read, null ones included, is a row whose `error` says why, with
+neither payload nor clips; it never ends the job. Repeated rows each stay. Extra
+columns are not read. RIFF's sizes have 32 bits and a value 2 GB, which bounds a film.
 """
 
 from __future__ import annotations
@@ -119,40 +122,77 @@ def avi(frames: list[bytes]) -> bytes:
     return chunk(b"RIFF", b"AVI " + head + chunk(b"LIST", b"".join(parts)) + chunk(b"idx1", b"".join(index)))
 
 
+def walk(data: bytes, at: int, end: int):
+    """(name, start, size) of the chunks of a RIFF list."""
+    while at + 8 <= end:
+        size = struct.unpack_from("<I", data, at + 4)[0]
+        yield data[at : at + 4], at + 8, size
+        at += 8 + size + (size & 1)
+
+
+def film_rate(data: bytes) -> float:
+    """Frames a second, of the video stream's header or else of the file's."""
+    rate = 0.0
+    for name, at, size in walk(data, 12, len(data)):
+        if name != b"LIST" or data[at : at + 4] != b"hdrl":
+            continue
+        for inner, start, length in walk(data, at + 4, min(at + size, len(data))):
+            if inner == b"avih" and (micro := struct.unpack_from("<I", data, start)[0]):
+                rate = rate or 1e6 / micro
+            if inner == b"LIST" and data[start : start + 4] == b"strl":
+                for leaf, place, _ in walk(data, start + 4, min(start + length, len(data))):
+                    if leaf == b"strh" and data[place : place + 4] == b"vids":
+                        scale, per = struct.unpack_from("<II", data, place + 20)
+                        if scale and per:
+                            return per / scale
+    return rate or float(FPS)
+
+
 def film_frames(data: bytes) -> list[bytes]:
     """The video frames of an AVI file, in order."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    at, movi, index = 12, None, None
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if name == b"LIST" and data[at + 8 : at + 12] == b"movi":
-            movi = at + 8, at + 8 + size
+    movi, index = None, None
+    for name, at, size in walk(data, 12, len(data)):
+        if name == b"LIST" and data[at : at + 4] == b"movi":
+            movi = at, min(at + size, len(data))
         elif name == b"idx1":
-            index = list(struct.iter_unpack("<4sIII", data[at + 8 : at + 8 + size // 16 * 16]))
-        at += 8 + size + (size & 1)
+            index = list(struct.iter_unpack("<4sIII", data[at : at + min(size, len(data) - at) // 16 * 16]))
     if movi is None:
         raise ValueError("an AVI file without movi")
     if index is None:
-        index, at = [], movi[0] + 4
-        while at + 8 <= movi[1]:
-            name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-            if name == b"LIST":
-                at += 12
-                continue
-            index.append((name, 0, at - movi[0], size))
-            at += 8 + size + (size & 1)
+        index, lists = [], [(movi[0] + 4, movi[1])]
+        while lists:
+            start, end = lists.pop(0)
+            for name, at, size in walk(data, start, end):
+                if name == b"LIST":
+                    lists.insert(0, (at + 4, min(at + size, end)))
+                else:
+                    index.append((name, 0, at - 8 - movi[0], size))
+        index.sort(key=lambda x: x[2])
     video = [x for x in index if x[0][2:] in (b"dc", b"db")]
     # Offsets count from movi or, in some files, from the start of the file.
     base = 0 if video and data[video[0][2] : video[0][2] + 4] == video[0][0] and video[0][2] >= movi[0] else movi[0]
-    return [data[base + x[2] + 8 : base + x[2] + 8 + x[3]] for x in video]
+    out: list[bytes] = []
+    for _, _, at, size in video:
+        if base + at + 8 + size > len(data):
+            raise ValueError("a frame reaches beyond the file")
+        out.append(data[base + at + 8 : base + at + 8 + size] if size or not out else out[-1])
+    return out
 
 
 def jpeg_parts(frame: bytes) -> dict:
     """The tables and geometry of a baseline JPEG and where its entropy-coded data starts."""
     out = {"quant": {}, "dc": {}, "ac": {}, "every": 0}
+    if frame[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG frame")
     at = 2
     while True:
+        if at + 4 > len(frame) or frame[at] != 0xFF:
+            raise ValueError("a JPEG frame without a scan")
+        if frame[at + 1] == 0xFF:
+            at += 1
+            continue
         marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
         body = frame[at + 4 : at + 2 + size]
         if marker == 0xDB:
@@ -166,43 +206,50 @@ def jpeg_parts(frame: bytes) -> dict:
                 out["ac" if body[0] >> 4 else "dc"][body[0] & 15] = peeks(huffman(bits, body[17 : 17 + sum(bits)]))
                 body = body[17 + sum(bits) :]
         elif marker in (0xC0, 0xC1):
-            if body[0] != 8 or body[5] != 1:
-                raise ValueError("only one-component 8-bit frames are decoded")
+            if body[0] != 8:
+                raise ValueError("only 8-bit frames are decoded")
             out["height"], out["width"] = struct.unpack_from(">HH", body, 1)
-            out["q"] = body[8]
+            out["components"] = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
         elif 0xC2 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
             raise ValueError("only baseline frames are decoded")
         elif marker == 0xDD:
             out["every"] = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
-            out["tables"] = body[2] >> 4, body[2] & 15
+            out["scan"] = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
+            if not out.get("components") or not out["width"] or not out["height"] or [c[0] for c in out["components"]] != [x[0] for x in out["scan"]]:
+                raise ValueError("only frames of one scan are decoded")
+            if any(not 1 <= f <= 4 for c in out["components"] for f in c[1:3]) or out["components"][0][3] not in out["quant"]:
+                raise ValueError("a JPEG frame without its tables")
             return out | {"at": at + 2 + size}
         at += 2 + size
 
 
 def decode(frames: list[bytes]):
-    """Of frames with one head: samples and the share of a block each stands for.
+    """Of frames with one head: luma samples, and which frames have damaged data.
 
     Flat frames give a (frames, blocks) array, a sample per block; others a
-    (frames, blocks, 64) array.
+    (frames, blocks, 64) array. Blocks of several components come unit by unit.
     """
+    import re
+
     import numpy as np
 
     parts = jpeg_parts(frames[0])
-    blocks = -(-parts["width"] // 8) * -(-parts["height"] // 8)
-    dc = parts["dc"].get(parts["tables"][0])
-    ac = parts["ac"].get(parts["tables"][1])
-    dc = peeks(huffman(DC_BITS, bytes(range(12)))) if dc is None else dc
-    ac = peeks(huffman(AC_BITS, AC_VALUES)) if ac is None else ac
-    every = parts["every"] or blocks
-    each = -(-blocks // every)
+    several = len(parts["components"]) > 1
+    across, down = (max(c[k] for c in parts["components"]) if several else 1 for k in (1, 2))
+    units = -(-parts["width"] // (8 * across)) * -(-parts["height"] // (8 * down))
+    standard = peeks(huffman(DC_BITS, bytes(range(12)))), peeks(huffman(AC_BITS, AC_VALUES))
+    tables = [(parts["dc"].get(d, standard[0]), parts["ac"].get(a, standard[1])) for _, d, a in parts["scan"]]
+    # The components of a unit's blocks, in order; luma comes first.
+    order = [i for i, c in enumerate(parts["components"]) for _ in range(c[1] * c[2] if several else 1)]
+    luma = order.count(0)
+    every = parts["every"] or units
+    each = -(-units // every)
     streams: list[bytes] = []
     for frame in frames:
         end = frame.rfind(b"\xff\xd9")
-        data = frame[parts["at"] : end if end >= 0 else len(frame)]
+        data = frame[parts["at"] : end if end >= parts["at"] else len(frame)]
         if parts["every"]:
-            import re
-
             found = re.split(rb"\xff[\xd0-\xd7]", data)
             streams += (found + [b""] * each)[:each]
         else:
@@ -216,12 +263,18 @@ def decode(frames: list[bytes]):
         window |= raw[k : len(raw) - 4 + k] << np.uint64(32 - 8 * k)
     bits = (len(window) - 1) << 3
     window = window.astype(np.int64)
-    at = (np.concatenate([[0], sizes.cumsum()[:-1]])) << 3
-
-    def take(where, table):
+    ends = sizes.cumsum() << 3
+    at = ends - (sizes << 3)
+    # Units of a frame's last restart interval that lie beyond the frame don't count.
+    real = np.full(n, every)
+    real[each - 1 :: each] = units - every * (each - 1)
+    broken = np.zeros(n, bool)
+
+    def take(who, where, table):
         """The next symbol's (zeros before it, value) and the bits it takes."""
         seen = window[where >> 3] >> (24 - (where & 7)) & 0xFFFF
         hit = table[seen]
+        broken[who[(hit == 0) | (where >= ends[who])]] = True
         length, symbol = hit >> 8, hit & 255
         size = symbol & 15
         after = where + length
@@ -231,39 +284,46 @@ def decode(frames: list[bytes]):
         return symbol, value, np.minimum(after + size, bits)
 
     coefficients = None
-    level = np.zeros(n, np.int64)
-    flat = np.zeros((n, every), np.int64)
-    all_streams = np.arange(n)
-    for b in range(every):
-        _, value, at = take(at, dc)
-        level += value
-        flat[:, b] = level
-        symbol, value, at = take(at, ac)
-        busy = np.flatnonzero(symbol)
-        if not len(busy):
-            continue
-        if coefficients is None:
-            coefficients = np.zeros((n, every, 64), np.int16)
-        where, k = all_streams[busy], np.ones(len(busy), np.int64)
-        symbol, value = symbol[busy], value[busy]
-        while len(where):
-            k = k + (symbol >> 4)
-            real = (symbol & 15) > 0
-            put = real & (k < 64)
-            coefficients[where[put], b, k[put]] = value[put]
-            k = k + 1
-            more = (k < 64) & (symbol != 0)
-            where, k = where[more], k[more]
-            if not len(where):
-                break
-            symbol, value, moved = take(at[where], ac)
-            at[where] = moved
-            done = symbol == 0
-            where, k, symbol, value = where[~done], k[~done], symbol[~done], value[~done]
+    levels = np.zeros((len(tables), n), np.int64)
+    flat = np.zeros((n, every * luma), np.int64)
+    everyone = np.arange(n)
+    for unit in range(every):
+        live = everyone if unit < units - every * (each - 1) else np.flatnonzero(unit < real)
+        for k, own in enumerate(order):
+            dc, ac = tables[own]
+            _, value, at[live] = take(live, at[live], dc)
+            levels[own, live] += value
+            kept = own == 0
+            b = unit * luma + k
+            if kept:
+                flat[live, b] = levels[own, live]
+            symbol, value, at[live] = take(live, at[live], ac)
+            busy = np.flatnonzero(symbol)
+            if not len(busy):
+                continue
+            if kept and coefficients is None:
+                coefficients = np.zeros((n, every * luma, 64), np.int16)
+            who, place = live[busy], np.ones(len(busy), np.int64)
+            symbol, value = symbol[busy], value[busy]
+            while len(who):
+                place = place + (symbol >> 4)
+                put = ((symbol & 15) > 0) & (place < 64)
+                if kept:
+                    coefficients[who[put], b, place[put]] = value[put]
+                place = place + 1
+                more = (place < 64) & (symbol != 0)
+                who, place = who[more], place[more]
+                if not len(who):
+                    break
+                symbol, value, at[who] = take(who, at[who], ac)
+                going = symbol != 0
+                who, place, symbol, value = who[going], place[going], symbol[going], value[going]
+    blocks = units * luma
+    damaged = broken.reshape(len(frames), each).any(axis=1)
     flat = flat.reshape(len(frames), -1)[:, :blocks]
-    quant = np.array(parts["quant"][parts["q"]], np.int64)
+    quant = np.array(parts["quant"][parts["components"][0][3]], np.int64)
     if coefficients is None:
-        return np.clip((flat * quant[0] + 1024 + 4) >> 3, 0, 255).astype(np.uint8)
+        return np.clip((flat * quant[0] + 1024 + 4) >> 3, 0, 255).astype(np.uint8), damaged
     full = coefficients.reshape(len(frames), -1, 64)[:, :blocks].astype(np.float64)
     full[:, :, 0] = flat
     full *= quant
@@ -271,7 +331,7 @@ def decode(frames: list[bytes]):
     square[:, :, ZIGZAG] = full
     basis = np.array([[(0.5 if u else 0.5**1.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
     pixels = np.einsum("fbuv,ux,vy->fbxy", square.reshape(*square.shape[:2], 8, 8), basis, basis)
-    return np.clip(np.rint(pixels + 128), 0, 255).astype(np.uint8).reshape(*full.shape[:2], 64)
+    return np.clip(np.rint(pixels + 128), 0, 255).astype(np.uint8).reshape(*full.shape[:2], 64), damaged
 
 
 def histograms(samples):
@@ -300,7 +360,9 @@ def cuts(shares, reach: int = 8, factor: float = 2.5, floor: float = 0.15) -> li
 
 
 MEDIA = "doc_id long, n_bytes long, media binary"
-FILM = "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, n_frames int, clips array<struct<start_frame: int, end_frame: int, start_s: double, end_s: double>>"
+FILM = "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, n_frames int, clips array<struct<start_frame: int, end_frame: int, start_s: double, end_s: double>>, error string"
+#: What reading damaged bytes may raise.
+DAMAGE = (ValueError, KeyError, IndexError, struct.error)
 
 
 def encode(docs: DataFrame) -> DataFrame:
@@ -342,34 +404,44 @@ def encode(docs: DataFrame) -> DataFrame:
 
 
 def read_films(media: DataFrame) -> DataFrame:
-    """Rows of FILM: the payload read back from the decoded samples of flat frames (null where a frame isn't flat), and the shots."""
+    """Rows of FILM: the payload read back from the decoded samples of flat one-component frames (null where a frame isn't one), the shots, or an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         import numpy as np
 
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int32()), ("clips", pa.list_(pa.struct([("start_frame", pa.int32()), ("end_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())])))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int32()), ("clips", pa.list_(pa.struct([("start_frame", pa.int32()), ("end_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())]))), ("error", pa.string())])
 
-        def read(films: list[list[bytes]]) -> list[tuple]:
+        def read(films: list[list[bytes]], errors: list[str | None]) -> list[tuple]:
             """Payload and histograms of each film; frames of one head are decoded together across films."""
-            frames = [f for film in films for f in film]
+            frames = [(f, i) for i, film in enumerate(films) for f in film]
             samples: list = [None] * len(frames)
             shares = np.zeros((len(frames), 32))
             groups: dict[bytes, list[int]] = {}
             known = b""
-            for i, frame in enumerate(frames):
-                if not known or not frame.startswith(known):
-                    known = frame[: jpeg_parts(frame)["at"]]
-                groups.setdefault(known, []).append(i)
+            for at, (frame, film) in enumerate(frames):
+                try:
+                    if not known or not frame.startswith(known):
+                        known = frame[: jpeg_parts(frame)["at"]]
+                    groups.setdefault(known, []).append(at)
+                except DAMAGE as e:
+                    errors[film] = errors[film] or f"{type(e).__name__}: {e}"
             for members in groups.values():
                 for a in range(0, len(members), STEP):
                     part = members[a : a + STEP]
-                    got = decode([frames[i] for i in part])
+                    try:
+                        got, damaged = decode([frames[at][0] for at in part])
+                    except DAMAGE as e:
+                        for at in part:
+                            errors[frames[at][1]] = errors[frames[at][1]] or f"{type(e).__name__}: {e}"
+                        continue
                     shares[part] = histograms(got)
+                    for at in np.array(part)[damaged].tolist():
+                        errors[frames[at][1]] = errors[frames[at][1]] or "a frame's data is damaged"
                     if got.ndim == 2:
-                        for i, row in zip(part, got):
-                            samples[i] = row.tobytes()
+                        for at, row in zip(part, got):
+                            samples[at] = row.tobytes()
             out, at = [], 0
             for film in films:
                 own = samples[at : at + len(film)]
@@ -377,21 +449,31 @@ def read_films(media: DataFrame) -> DataFrame:
                 at += len(film)
             return out
 
+        def opened(data: bytes | None) -> tuple[list[bytes], float, str | None]:
+            try:
+                if data is None:
+                    raise ValueError("no film")
+                return film_frames(data), film_rate(data), None
+            except DAMAGE as e:
+                return [], float(FPS), f"{type(e).__name__}: {e}"
+
         for batch in batches:
             ids, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             start = 0
             while start < len(ids) or start == 0:
-                rows, films, raw, held = [], [], [], 0
+                rows, raw, held = [], [], 0
                 stop = start
                 while stop < len(ids) and held < 6_000_000:
                     raw.append(batch.column(2)[stop].as_py())
-                    held += len(raw[-1])
+                    held += len(raw[-1] or b"")
                     stop += 1
-                films = [film_frames(x) for x in raw]
-                for i, data, film, (payload, shares) in zip(range(start, stop), raw, films, read(films)):
-                    edges = [0, *cuts(shares), len(film)]
-                    clips = [{"start_frame": a, "end_frame": b, "start_s": a / FPS, "end_s": b / FPS} for a, b in zip(edges, edges[1:]) if b > a]
-                    rows.append({"doc_id": ids[i], "n_bytes": sizes[i], "payload": payload, "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "n_frames": len(film), "clips": clips})
+                films, rates, errors = (list(x) for x in zip(*map(opened, raw))) if raw else ([], [], [])
+                for i, (data, film, (payload, shares)) in enumerate(zip(raw, films, read(films, errors))):
+                    row = {"doc_id": ids[start + i], "n_bytes": sizes[start + i], "media_bytes": None if data is None else len(data), "media_sha256": None if data is None else hashlib.sha256(data).hexdigest(), "n_frames": len(film), "error": errors[i]}
+                    if errors[i] is None:
+                        edges = [0, *cuts(shares), len(film)]
+                        row |= {"payload": payload, "clips": [{"start_frame": a, "end_frame": b, "start_s": a / rates[i], "end_s": b / rates[i]} for a, b in zip(edges, edges[1:]) if b > a]}
+                    rows.append(row)
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
                 start = max(stop, 1)
 

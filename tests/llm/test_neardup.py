@@ -163,3 +163,44 @@ def test_recall_at_ten_thousand_documents(spark):
     n, missed = check(before, after, 0.9, 0.9)
     assert n > 30, (n, missed)
     print(n, missed, len(before) - len(after))
+
+
+def test_a_pair_counts_in_one_table():
+    """Of all tables in which two classes collide, within reach of the word, exactly one has them as candidates."""
+    rng = np.random.default_rng(4)
+    tables = np.array(simhash.masks(neardup.RADIUS, 3), np.uint64)
+    seen = 0
+    for _ in range(60):
+        a = rng.integers(0, 1 << 63, neardup.WORDS, np.uint64)
+        b = a ^ np.array([sum(1 << int(i) for i in rng.choice(64, rng.integers(0, 14), replace=False)) for _ in range(neardup.WORDS)], np.uint64)
+        words = np.stack([a, b])
+        met = [t for t in range(len(tables) * neardup.WORDS) if not (a[t // len(tables)] ^ b[t // len(tables)]) & tables[t % len(tables)] and np.bitwise_count(a[t // len(tables)] ^ b[t // len(tables)]) <= neardup.REACH]
+        same = [len(tables) * neardup.WORDS + k for k in range(neardup.WORDS) if a[k] == b[k]]
+        counted = [t for t in range(len(tables) * neardup.WORDS + neardup.WORDS) if neardup.meeting(words, t, 0)[0, 1]]
+        near = np.bitwise_count(a ^ b).sum() <= neardup.LIMIT
+        assert counted == ((same or met)[:1] if near else [])
+        seen += bool(counted)
+    assert seen > 10
+
+
+def test_dense_families_take_few_rounds(spark, monkeypatch):
+    """A family in which many pairs are nearly similar, and a chain of versions: rounds don't follow their size."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(vocabulary) for _ in range(300)]
+    texts = []
+    for _ in range(150):
+        other = list(base)
+        for _ in range(7):
+            other[rng.randrange(300)] = rng.choice(vocabulary)
+        texts.append(" ".join(other))
+    for _ in range(150):
+        base = list(base)
+        base[rng.randrange(300)] = rng.choice(vocabulary)
+        texts.append(" ".join(base))
+    rounds, plain = [], neardup.before_each
+    monkeypatch.setattr(neardup, "before_each", lambda *a: rounds.append(1) or plain(*a))
+    rows = list(enumerate(texts))
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    check(dict(rows), {r["doc_id"]: r["text"] for r in kept.collect()}, 0.9, 0.88)
+    assert len(rounds) < 12
