@@ -1,14 +1,16 @@
 r"""Personal data by weak supervision, with built-in expressions only.
 
 Base rules find e-mail and IP addresses, card and phone numbers; they always count.
-Looser patterns propose further spans: national id numbers, secrets, phone numbers
-without a country code and names. Labelers vote on every proposed span: its strict
-form (regex), lists of given names, area codes and words that are no secrets
-(gazetteer), and the words before it (context, for and against). Expectation
-maximisation over the counts of vote patterns, of which there is a fixed number
-whatever the corpus, estimates each labeler's reliability and the chance that a
-pattern is personal data; a logistic span classifier, trained on these chances
-with shape features, decides which proposed spans are added.
+Looser patterns propose further spans in English, German, French and Spanish:
+national id and account numbers, secrets, phone numbers in national form, and
+names. Labelers vote on every proposed span: its strict form and check digits
+(regex), lists of given names, area codes and placeholders (gazetteer), the words
+before it for and against (context), and other personal data close by (company).
+Expectation maximisation over the counts of vote patterns, of which there is a fixed
+number whatever the corpus, estimates each labeler's reliability and the chance that
+a pattern is personal data; a logistic span classifier, trained on these chances,
+sees besides the votes the span's length, its digits and what stands around it, and
+decides which proposed spans are added.
 
 Offsets are code points, ends exclusive. A null text is an empty one. Repeated
 rows each get a row. Extra columns are not read.
@@ -28,21 +30,29 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-GIVEN = "Anna|Maria|John|James|Robert|Michael|William|David|Mary|Linda|Susan|Peter|Paul|Thomas|Hans|Klaus|Jean|Pierre|Marie|Carlos|Juan|Jose|Luis|Elena|Laura|Sarah|Emma|Olivia|Daniel|Martin"
+GIVEN = (
+    "Anna|Maria|John|James|Robert|Michael|William|David|Mary|Linda|Susan|Peter|Paul|Thomas|Sarah|Emma|Olivia|Daniel|Martin|Elizabeth|Jennifer|Richard|George|Alice|Henry|Lucy"
+    "|Hans|Klaus|Jürgen|Wolfgang|Heike|Ursula|Sabine|Petra|Stefan|Andreas|Uwe|Greta|Lukas|Jonas|Lena|Katrin|Dieter|Günther"
+    "|Jean|Pierre|Marie|François|Nathalie|Sylvie|Camille|Chloé|Luc|Michel|Philippe|Isabelle|Élodie|Mathieu|Antoine|Hélène"
+    "|Carlos|Juan|José|Jose|Luis|Elena|Laura|Carmen|Pilar|Javier|Miguel|Lucía|Andrés|Sofía|Diego|Pablo|Isabel|Álvaro"
+)
+TITLES = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Doña)\.? |(?:[Mm]y name is|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m'appelle|[Mm]e llamo|[Mm]i nombre es) "
+WORD = r"\p{Lu}[\p{Ll}]{1,30}+(?:-\p{Lu}[\p{Ll}]{1,30}+)?"
 LOOSE = {
-    "id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "secret": r"(?:(?i)\b(?:password|passwd|token|secret|api[_-]?key) ?[=:] ?\x22?[A-Za-z0-9_+/-]{6,200}+\x22?)|\bAKIA[0-9A-Z]{16}\b",
-    "local": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "name": rf"\b(?:{GIVEN}) [A-Z][a-z]{{2,30}}\b",
+    "id": r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{8}-?[A-Z]|[XYZ]-?[0-9]{7}-?[A-Z]|[12] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}|[1-9][0-9] ?[0-9]{3} ?[0-9]{3} ?[0-9]{3}|[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?)(?![0-9A-Za-z-])",
+    "secret": r"(?:(?i)\b(?:password|passwd|passwort|kennwort|mot de passe|contraseña|token|secret|api[_-]?key) ?[=:] ?[\x22']?[A-Za-z0-9_+/!$-]{6,200}+[\x22']?)|\b(?:AKIA[0-9A-Z]{16}|gh[ps]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})\b",
+    "local": r"(?<![0-9+.-])(?:\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}|0[1-9](?:[ .-][0-9]{2}){4}|0[1-9][0-9]{1,3}[ /-][0-9]{5,8}|[6789][0-9]{2}[ .-][0-9]{3}[ .-][0-9]{3})(?![0-9.-]*[0-9])",
+    "name": rf"\b(?:{TITLES})(?:{WORD})(?: {WORD})?|(?<![\p{{L}}\p{{N}}])(?:{GIVEN}) {WORD}",
 }
 BASE = ["email", "ip", "card", "phone"]
 CONTEXT = {
-    "id": r"(?:ssn|social|security|passport|tax|id)\W{0,4}(?:no|nr|number|is)?\W{0,4}$",
-    "secret": r"(?:my|the|login|user|aws|access|key|with)\W{0,4}$",
-    "local": r"(?:call|phone|tel|fax|mobile|cell|dial|at)\W{0,4}$",
-    "name": r"(?:mr|mrs|ms|dr|name|from|by|dear|contact|signed)\W{0,4}(?:is)?\W{0,4}$",
+    "id": r"(?:ssn|social|security|passport|tax|id|nif|dni|nie|iban|steuer-?id|steuernummer|identifikationsnummer|sozialversicherungsnummer|ausweis|sécu|sécurité sociale|insee|nir|identidad|cuenta|konto|account)\W{0,4}(?:no|nr|number|is|num|numéro|número|número es|lautet|est|es)?\W{0,4}$",
+    "secret": r"(?:my|the|login|user|aws|access|key|with|mein|das|zugang|mon|le|accès|mi|la|clave)\W{0,4}$",
+    "local": r"(?:call|phone|tel|fax|mobile|cell|dial|at|telefon|anrufen|handy|rufnummer|unter|téléphone|appelez|portable|teléfono|llame al|móvil|llamar al)\W{0,4}$",
+    "name": r"(?:mr|mrs|ms|dr|name|from|by|dear|contact|signed|regards|von|liebe|lieber|gezeichnet|grüße|de|cher|chère|signé|cordialement|estimado|estimada|querido|querida|firmado|saludos|atentamente)\W{0,4}(?:is)?\W{0,4}$",
 }
-AGAINST = r"(?:isbn|version|page|section|figure|example|order|item|part|sku)\W{0,4}$"
+AGAINST = r"(?:isbn|version|page|section|figure|example|order|item|part|sku|model|lot|seite|abschnitt|beispiel|bestellung|artikel|auflage|figur|exemple|commande|article|ejemplo|página|pedido|artículo|modelo|sankt|saint|san|santa|rue|calle|avenue|straße|platz|place|plaza|ship|ms)\W{0,4}(?:no|nr|num|n°|nº)?\W{0,4}$"
+NO_NAME = "Street|Road|Avenue|Day|Church|Cathedral|University|College|Hospital|Prize|Island|Museum|Platz|Kirche|Schule|Universität|Stiftung|Straße|Hospital|Rue|Église|Université|Musée|Calle|Plaza|Universidad|Iglesia|Museo"
 #: Parts whose lengths are summed one after the other.
 RUN = 256
 MARK, OTHER = "\u0001", "\u0002"
@@ -120,30 +130,67 @@ def valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-def votes(kind: str, x: Column) -> list[Column]:
+def modulo(number: Column, by: int) -> Column:
+    """A string of at most 18 digits modulo a small number."""
+    return F.coalesce(number.try_cast("bigint"), F.lit(0)) % by
+
+
+def id_fits(t: Column) -> Column:
+    """1 where an id's own check holds or its form is sound, -1 where it can't be an id, 0 where nothing tells."""
+    d = digits(t)
+    plain = F.regexp_replace(t, "[ -]", "")
+    letter = F.substr(F.lit("TRWAGMYFPDXBNJZSQVHLCKE"), (modulo(F.translate(F.left(plain, F.char_length(plain) - 1), "XYZ", "012"), 23) + 1).cast("int"), F.lit(1))
+    rotated = F.concat(F.substr(plain, F.lit(5)), F.left(plain, F.lit(4)))
+    # Letters are two digits each; the remainder is taken piece by piece.
+    rest = F.aggregate(F.split(rotated, ""), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).when(c != "", (a * 100 + F.ascii(c) - 55) % 97).otherwise(a))
+    good = (
+        F.when(t.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ~t.rlike("^(?:000|666|9..)-|-00-|-0000$"))
+        .when(plain.rlike("^[0-9XYZ][0-9]{7}[A-Z]$"), F.right(plain, F.lit(1)) == letter)
+        .when(plain.rlike("^[A-Z]{2}[0-9]{2}"), rest == 1)
+        .when(F.char_length(d) == 15, modulo(F.right(d, F.lit(2)), 100) == 97 - modulo(F.left(d, F.lit(13)), 97))
+        .when(F.char_length(d) == 11, F.size(F.array_distinct(F.split(F.left(d, F.lit(10)), ""))).isin(9, 10) | (F.size(F.array_distinct(F.split(F.left(d, F.lit(10)), ""))) == 8))
+    )
+    return F.when(good & (F.char_length(d) != 11), 1).when(good, 0).otherwise(-1)
+
+
+def votes(kind: str, x: Column, base: str | Column) -> list[Column]:
     """A vote of each labeler on a proposed span: 1 for, -1 against, 0 none."""
     t, before = x["text"], F.lower(x["before"])
     d = digits(t)
     if kind == "id":
-        strict = ~t.rlike("^(?:000|666|9..)-") & ~t.rlike("-00-") & ~t.rlike("-0000$")
-        listed = F.when(t.isin("123-45-6789", "078-05-1120"), -1).otherwise(0)
+        strict = id_fits(t)
+        listed = F.when(t.isin("123-45-6789", "078-05-1120", "12345678Z", "00000000T") | d.rlike("^(.)\\1+$"), -1).otherwise(0)
     elif kind == "secret":
-        strict = t.rlike("AKIA[0-9A-Z]{16}") | (t.rlike("[=:].*[0-9]") & t.rlike("[=:].*[A-Za-z]"))
-        listed = F.when(F.lower(t).rlike(r"[=:] ?\x22?(?:password|secret|token|null|none|true|false|changeme|example)"), -1).otherwise(1)
+        body = F.regexp_replace(t, "^[^=:]*[=:]", "")
+        strict = F.when(t.rlike("AKIA[0-9A-Z]{16}|gh[ps]_|sk-") | (body.rlike("[0-9]") & body.rlike("[A-Za-z]")), 1).otherwise(-1)
+        listed = F.when(F.lower(t).rlike(r"[=:] ?[\x22']?(?:password|passwort|secret|token|null|none|true|false|changeme|example|xxxx|your|dein|votre|ejemplo)"), -1).when(t.rlike("[0-9a-f]{32,}|[A-Za-z0-9+/]{24,}"), 1).otherwise(0)
     elif kind == "local":
-        strict = (F.char_length(d) == 10) & ~d.rlike("^[01]") & ~d.rlike("^...[01]")
-        listed = F.when(d.rlike("^(?:212|213|312|415|617|202|305|404|646|718|800|888)"), 1).otherwise(0)
+        american = t.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}$")
+        strict = F.when(american & d.rlike("^[01]|^...[01]"), -1).when(d.rlike("^(.)\\1+$|^0?123456"), -1).otherwise(1)
+        listed = F.when(american & d.rlike("^(?:212|213|312|415|617|202|305|404|646|718|800|888)"), 1).when(d.rlike("^(?:030|040|089|0221|069|01[567]|0[67]|01|91[0-9]|93[0-9]|6[0-9]{2})"), 1).otherwise(0)
     else:
-        strict = t.rlike("^[A-Z][a-z]+ [A-Z][a-z]+$")
-        listed = F.lit(1)
-    return [F.when(strict, 1).otherwise(-1), listed, F.when(before.rlike(CONTEXT[kind]), 1).otherwise(0), F.when(before.rlike(AGAINST), -1).otherwise(0)]
+        bare = F.regexp_replace(t, rf"^(?:{TITLES})", "")
+        strict = F.when(bare.rlike(rf"(?:^| )(?:{NO_NAME})$"), -1).when(bare.rlike(r"^\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)? \p{Lu}\p{Ll}+"), 1).otherwise(0)
+        listed = F.when(bare.rlike(rf"^(?:{GIVEN})(?: |$)"), 1).otherwise(0)
+    titled = t.rlike(rf"^(?:{TITLES})") if kind == "name" else F.lit(False)
+    near = F.exists(base, lambda b: (b["start"] < x["end"] + 120) & (x["start"] < b["end"] + 120))
+    return [strict, listed, F.when(before.rlike(CONTEXT[kind]) | titled, 1).otherwise(0), F.when(before.rlike(AGAINST), -1).otherwise(0), F.when(near, 1).otherwise(0)]
+
+
+def shape_of(x: Column) -> Column:
+    """What the classifier sees besides the votes: length, share of digits, and what stands before, a number below 36."""
+    size = x["end"] - x["start"]
+    length = F.when(size > 24, 2).when(size > 12, 1).otherwise(0)
+    digit = F.when(F.char_length(digits(x["text"])) * 2 > size, 2).when(x["text"].rlike("[0-9]"), 1).otherwise(0)
+    before = F.when(x["before"].rlike(r"[:=#]\s?$"), 3).when(x["before"].rlike(r"\p{Ll},?\s$"), 2).when(x["before"].rlike(r"[.!?\n]\s?$"), 1).otherwise(0)
+    return length * 12 + digit * 4 + before
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, base (array of start, rank, end, kind) and loose (array of start, end, kind, votes, shape) of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     digit = F.col("_t").rlike("[0-9]")
-    gates = {"email": F.contains("_t", F.lit("@")), "ip": digit, "card": digit, "phone": F.contains("_t", F.lit("+")), "id": digit, "local": digit, "secret": F.col("_t").rlike("(?i)password|passwd|token|secret|key|AKIA"), "name": F.col("_t").rlike(rf"\b(?:{GIVEN}) [A-Z]")}
+    gates = {"email": F.contains("_t", F.lit("@")), "ip": digit, "card": digit, "phone": F.contains("_t", F.lit("+")), "id": digit, "local": digit, "secret": F.col("_t").rlike("(?i)passw|kennwort|mot de passe|contrase|token|secret|key|AKIA|gh[ps]_|sk-"), "name": F.col("_t").rlike(LOOSE["name"])}
     read = docs.select("doc_id", text.alias("_t"))
     found = matches(read, {k: (p, gates[k]) for k, p in {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, **LOOSE}.items()})
 
@@ -154,14 +201,13 @@ def candidates(docs: DataFrame) -> DataFrame:
     base = [accepted(i, k) for i, k in enumerate(BASE)]
 
     def proposal(kind: str, x: Column) -> Column:
-        shape = F.when(x["end"] - x["start"] > 24, 2).when(x["end"] - x["start"] > 12, 1).otherwise(0)
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.array(*votes(kind, x)).alias("votes"), shape.alias("shape"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.array(*votes(kind, x, "base")).alias("votes"), shape_of(x).alias("shape"))
 
     def proposals(kind: str) -> Column:
         return F.transform(kind, lambda x: proposal(kind, x))
 
-    loose = [proposals(k) for k in LOOSE]
-    return found.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), F.concat(*loose).alias("loose"))
+    with_base = found.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), *LOOSE)
+    return with_base.select("doc_id", "base", F.concat(*[proposals(k) for k in LOOSE]).alias("loose"))
 
 
 def reliabilities(counts: list[tuple[str, tuple[int, ...], float]], rounds: int = 40) -> dict:
@@ -213,13 +259,13 @@ def classifier(counts: list[tuple[str, tuple[int, ...], int, float]], chance: di
 
 
 def names(kind: str, v: tuple[int, ...], shape: int) -> list[str]:
-    return [f"{kind}", *[f"{kind}:{i}:{x}" for i, x in enumerate(v)], f"{kind}:shape:{shape}"]
+    return [f"{kind}", *[f"{kind}:{i}:{x}" for i, x in enumerate(v)], *[f"{kind}:{n}:{x}" for n, x in zip(("length", "digits", "before"), (shape // 12, shape // 4 % 3, shape % 4))]]
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans: all accepted spans (start, rank, end, kind), in order, of each row."""
     read = materialize(candidates(docs), "pii")
-    # At most 4 kinds x 81 vote patterns x 3 shapes, whatever the corpus.
+    # At most 4 kinds x 243 vote patterns x 36 shapes, whatever the corpus.
     counted = read.select(F.explode("loose").alias("x")).groupBy("x.kind", "x.votes", "x.shape").agg(F.count("*").alias("n")).collect()
     rows = [(r["kind"], tuple(r["votes"]), r["shape"], float(r["n"])) for r in sorted(counted, key=str)]
     chance = reliabilities([(k, v, n) for k, v, _, n in rows])
