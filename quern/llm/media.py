@@ -439,7 +439,7 @@ def read_films(media: DataFrame) -> DataFrame:
                     shares[part] = histograms(got)
                     for at in np.array(part)[damaged].tolist():
                         errors[frames[at][1]] = errors[frames[at][1]] or "a frame's data is damaged"
-                    if got.ndim == 2:
+                    if got.ndim == 2 and len(jpeg_parts(frames[part[0]][0])["components"]) == 1:
                         for at, row in zip(part, got):
                             samples[at] = row.tobytes()
             out, at = [], 0
