@@ -101,5 +101,19 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (sum(n_text + CASE WHEN prev = role THEN 10 ELSE 12 + n_role + 9 + CASE WHEN prev IS NULL THEN 0 ELSE 10 END END) + 10)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op8_exact_repeats": r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT r, p, substr(h, 2 * p + 1, 1310) AS h FROM d, unnest(range(0, len(h) // 2 - 399, 256)) AS u(p) WHERE len(h) >= 800),
+w AS (SELECT r, p + s AS s, md5_number(substr(h, 2 * s + 1, 800)) AS m FROM part, unnest(range(0, least(256, len(h) // 2 - 399))) AS u(s)),
+many AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS before FROM w SEMI JOIN many USING (m)),
+runs AS (SELECT r, s, sum(CASE WHEN before IS NULL OR s - before > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM hit),
+spans AS (SELECT r, k, min(s) AS a, max(s) + 400 AS b FROM runs GROUP BY r, k),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS from_ FROM spans),
+cut AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, list({'x': from_, 'y': a} ORDER BY a) AS keep FROM gaps GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN keep IS NULL THEN h ELSE array_to_string(list_transform(keep, lambda g: substr(h, 2 * g.x + 1, 2 * (g.y - g.x))), '') || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
 """,
 }
