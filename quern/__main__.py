@@ -9,31 +9,18 @@ sorted file list each node may take its slice (--world-size, --rank-start,
 from __future__ import annotations
 
 import argparse
-import base64
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.api import CorpusConfig, CorpusWriter, verify_corpus
-from quern.functions.tokens import encode_with
+from quern.config import ROTATE_BYTES
+from quern.functions.tokens import byte_bpe, encode_with
 from quern.operators import epoch, interchange, pack, store
 from quern.sources import listing
 
 
-def rank_encoder(path: str, pattern: str):
-    """A byte-level BPE of a file of ranks; special tokens' strings are ordinary text."""
-
-    def make():
-        import tiktoken
-
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    return make
-
-
 GPT2_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -58,7 +45,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     write.add_argument("--output", required=True)
     write.add_argument("--holdout-rate", type=float, default=0.1, help="percent of tokens")
     write.add_argument("--shards", type=int, default=4)
-    write.add_argument("--lanes", type=int, default=1)
+    write.add_argument("--lanes", type=int, default=8)
+    write.add_argument("--rotate-bytes", type=int, default=ROTATE_BYTES)
     write.add_argument("--byte-tokens", action="store_true")
     write.add_argument("--ranks", help="file of BPE ranks")
     write.add_argument("--pattern", default=GPT2_PATTERN)
@@ -84,8 +72,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if not args.byte_tokens:
             with open(args.ranks, "rb") as lines:
                 vocab = sum(1 for _ in lines) + 1
-            docs = encode_with(docs.where(F.col("text").isNotNull()), rank_encoder(args.ranks, args.pattern))
-        config = CorpusConfig(encoding=args.ranks or "bytes", byte_tokens=args.byte_tokens, holdout_rate=args.holdout_rate, num_shards=args.shards, lanes=args.lanes)
+            docs = encode_with(docs.where(F.col("text").isNotNull()), lambda: byte_bpe(args.ranks, args.pattern).encode_ordinary)
+        config = CorpusConfig(encoding=args.ranks or "bytes", byte_tokens=args.byte_tokens, holdout_rate=args.holdout_rate, num_shards=args.shards, lanes=args.lanes, rotate_bytes=args.rotate_bytes)
         rejected = CorpusWriter(args.output, config).write(docs, args.just_args, vocab)
         print(json.dumps({} if args.just_args else rejected.first().asDict()))
         return 0

@@ -11,6 +11,7 @@ from quern.operators.batch import CorpusLoader
 from quern.operators.split import holdout
 from quern.operators.store import write_corpus
 from quern.operators.verify import verify_corpus
+from quern.shipping import ship
 from quern.sources.listing import with_ordinal
 
 __all__ = ["CorpusConfig", "CorpusLoader", "CorpusWriter", "EpochConfig", "verify_corpus"]
@@ -24,6 +25,7 @@ class CorpusWriter:
 
     def write(self, docs: DataFrame, metadata_only: bool = False, n_vocab: int | None = None) -> DataFrame:
         """Returns how many documents were rejected: null or empty ones, of which byte-token texts are made here."""
+        ship(docs.sparkSession)
         as_bytes = "tokens" not in docs.columns
         tokens = byte_tokens(F.col("text")) if as_bytes else check_ids(F.col("tokens"))
         ready = docs.select("doc_id", tokens.alias("tokens"))

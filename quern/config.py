@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 FORMAT_VERSION = 14
 PADDING = -1
@@ -41,9 +41,8 @@ class CorpusConfig:
     byte_tokens: bool = False
     holdout_rate: float = 0.1  # percent of tokens
     num_shards: int = 4
-    lanes: int = 1
+    lanes: int = 8  # of the holdout split, decided in parallel
     rotate_bytes: int = ROTATE_BYTES
-    extra: dict = field(default_factory=dict)
 
 
 @dataclass(frozen=True)

@@ -123,3 +123,28 @@ def training_seed(seed: int = -1) -> int:
     import secrets
 
     return seed if seed >= 0 else secrets.randbits(31)
+
+
+def byte_bpe(ranks_path: str, pattern: str):
+    """A byte-level BPE of a file of ranks; special tokens' strings are ordinary text."""
+    import base64
+
+    import tiktoken
+
+    with open(ranks_path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def decode_with(docs: DataFrame, make: Callable[[], Callable[[list[int]], str]], column: str = "tokens") -> DataFrame:
+    """`docs` with decoded, the text of its tokens; `make` builds the decoder once per task."""
+    at = docs.columns.index(column)
+    schema = T.StructType([*docs.schema.fields, T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = make()
+        for batch in batches:
+            texts = [None if t is None else decode(t) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+
+    return docs.mapInArrow(run, schema)

@@ -12,6 +12,7 @@ from quern.config import PADDING, EpochConfig
 from quern.operators.epoch import interleaved
 from quern.operators.pack import resumed, segments, total_steps
 from quern.operators.store import read_spans
+from quern.shipping import ship
 
 
 def steps(plan: DataFrame) -> DataFrame:
@@ -101,19 +102,22 @@ def put_together(padding: int):
     return run
 
 
-def assemble(plan: DataFrame, spans: DataFrame, padding: int = PADDING) -> DataFrame:
+def assemble(plan: DataFrame, spans: DataFrame, padding: int = PADDING, n_steps: int | None = None) -> DataFrame:
     """Rows of BATCHES: (epoch, rank, step, row, lane, is_continuation, num_tokens, tokens), a step's rows padded to its longest.
 
     A span's segments are collected (a span has few) and meet its tokens once, are
     cut there, and only what a row needs is shuffled to its step. Empty lanes are
-    left out and later ones move up: `row` is the place, `lane` stays.
+    left out and later ones move up: `row` is the place, `lane` stays. With `n_steps`,
+    the steps of the one epoch and rank planned, partitions hold steps in order.
     """
+    ship(plan.sparkSession)
     segment = F.struct("epoch", "rank", "step", "lane", "is_continuation", "write_off", "read_off", "write_count")
     wanted = plan.groupBy("shard", "span").agg(F.collect_list(segment).alias("parts"))
     # Tokens are far larger than what they are made of, by which a broadcast would be judged.
     cut = wanted.join(spans.select("shard", "span", "tokens").hint("merge"), ["shard", "span"]).select("parts", F.col("tokens").cast("array<int>")).mapInArrow(cut_spans, CUT)
     n = max(1, int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = cut.repartition(n, "epoch", "rank", "step").sortWithinPartitions("epoch", "rank", "step", "lane", "write_off")
+    placed = cut.repartition(n, "epoch", "rank", "step") if n_steps is None else cut.repartitionById(n, F.least(F.floor(F.col("step") * n / max(1, n_steps)), F.lit(n - 1)).cast("int"))
+    placed = placed.sortWithinPartitions("epoch", "rank", "step", "lane", "write_off")
     return placed.mapInArrow(put_together(padding), BATCHES)
 
 
@@ -129,7 +133,7 @@ class CorpusLoader:
         self.total_steps = 0
 
     def begin_epoch(self, config: EpochConfig, epoch: int | None = None) -> DataFrame:
-        """Plan an epoch; the batches of this rank, as a lazy table, in no order."""
+        """Plan an epoch; the batches of this rank, as a lazy table whose partitions hold the steps in order."""
         number = config.seed1 if epoch is None else epoch
         epochs = self.spark.range(1).select(F.lit(number).alias("epoch"))
         ordered = interleaved(self.spans.select("shard", "span", "token_count"), config.seed0, epochs, config.local_rank_count).where(F.col("rank") == config.local_rank)
@@ -137,8 +141,8 @@ class CorpusLoader:
         self.plan = whole
         found = total_steps(whole).first()
         self.total_steps = found["total_steps"] if found else 0
-        batches = assemble(resumed(whole, config.start_step), self.spans, config.padding_token)
-        self._rows = batches.orderBy("step", "row").toLocalIterator(prefetchPartitions=True)
+        batches = assemble(resumed(whole, config.start_step), self.spans, config.padding_token, self.total_steps)
+        self._rows = batches.toLocalIterator(prefetchPartitions=True)
         self._held = None
         return batches
 

@@ -14,11 +14,14 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quern.shipping import ship
+
 BATCH = 20_000
 
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[tuple, Iterator[tuple]], Iterable[tuple]], schema: str, partitions: int | None = None) -> DataFrame:
     """Rows of `schema` that `fold` makes of each key's rows: fold(key, rows), rows as tuples of df's columns, in `order`."""
+    ship(df.sparkSession)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = df.columns
     at = [columns.index(k) for k in keys]

@@ -22,13 +22,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quern.config import FORMAT_VERSION
-from quern.functions.codec import city64, compress, decompress, signed
+from quern.functions.codec import city64, city64_rows, compress, decompress, signed
 from quern.operators.folds import ordered_fold
 
 SPANS = "shard int, span long, token_count int, tokens array<long>"
 INDEX_END, DATA_END = 14, 10
 
 
+#: Bytes whose hashes are taken at once.
+HASHED = 8 << 20
+
+
+def xor_of(values: list[bytes]) -> int:
+    """The XOR of their hashes; empties the list."""
+    import numpy as np
+
+    found = int(np.bitwise_xor.reduce(city64_rows(values).view(np.uint64))) if values else 0
+    values.clear()
+    return found
+
+
+def packed(tokens: list[int], width: int) -> bytes:
+    """Tokens as little-endian words of `width` bytes."""
+    import numpy as np
+
+    words = np.array(tokens, "<u8")
+    if len(words) and int(words.max()) >> (8 * min(width, 8)) and width < 8:
+        raise ValueError(f"a token doesn't fit {width} bytes")
+    return words.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(raw: bytes, width: int) -> list[int]:
+    """The tokens of such words; of wider ones the first four bytes."""
+    import numpy as np
+
+    words = np.zeros((len(raw) // width, 4), np.uint8)
+    words[:, : min(width, 4)] = np.frombuffer(raw, np.uint8).reshape(-1, width)[:, :4]
+    return words.view("<u4").ravel().tolist()
+
+
 def export_shards(spans: DataFrame, path: str, token_bytes: int = 4) -> dict:
     """Write spans (shard, span, tokens) as binary shards; returns the manifest.
 
@@ -41,22 +73,27 @@ def export_shards(spans: DataFrame, path: str, token_bytes: int = 4) -> dict:
         shard = key[0]
         mark = f".{uuid.uuid4().hex}"
         names = [os.path.join(path, f"{kind}_{shard}.bin") for kind in ("data", "index")]
-        offset = spans_seen = tokens_seen = data_hash = index_hash = 0
+        offset = spans_seen = tokens_seen = data_hash = index_hash = held = 0
+        records_held: list[bytes] = []
+        frames_held: list[bytes] = []
         with open(names[0] + mark, "wb") as data, open(names[1] + mark, "wb") as index:
             for _, _, tokens in rows:
                 if not tokens:
                     raise ValueError("a span without tokens")
-                raw = b"".join(t.to_bytes(token_bytes, "little") for t in tokens)
-                frame = compress(raw, token_bytes)
+                frame = compress(packed(tokens, token_bytes), token_bytes)
                 record = struct.pack("<II", offset, len(tokens))
                 index.write(record)
                 data.write(frame)
-                index_hash ^= city64(record)
-                data_hash ^= city64(frame)
+                records_held.append(record)
+                frames_held.append(frame)
+                held += len(frame)
+                if held > HASHED:
+                    index_hash, data_hash, held = index_hash ^ xor_of(records_held), data_hash ^ xor_of(frames_held), 0
                 offset += len(frame)
                 if offset >= 1 << 32:
                     raise ValueError(f"shard {shard} is too large for the format")
                 spans_seen, tokens_seen = spans_seen + 1, tokens_seen + len(tokens)
+            index_hash, data_hash = index_hash ^ xor_of(records_held), data_hash ^ xor_of(frames_held)
             head = struct.pack("<IBB", offset, FORMAT_VERSION, token_bytes)
             index.write(head + struct.pack("<Q", index_hash ^ city64(head)))
             head = struct.pack("<BB", FORMAT_VERSION, token_bytes)
@@ -141,7 +178,7 @@ class ShardReader(DataSourceReader):
             for span, (at, size, count) in enumerate(spans):
                 source.seek(at)
                 raw = decompress(source.read(size), count * width, width)
-                yield partition.shard, span, count, [int.from_bytes(raw[i : i + min(width, 4)], "little") for i in range(0, len(raw), width)]
+                yield partition.shard, span, count, unpacked(raw, width)
 
 
 class ShardSource(DataSource):
@@ -191,16 +228,17 @@ def verify_shards(spark: SparkSession, path: str) -> DataFrame:
             spans = records(index)
             if any(n <= 0 for _, n, _ in spans):
                 rules.add("V4")
-            total = city64(index[-INDEX_END:-8])
-            for at in range(0, len(index) - INDEX_END, 8):
-                total ^= city64(index[at : at + 8])
+            total = city64(index[-INDEX_END:-8]) ^ xor_of([index[at : at + 8] for at in range(0, len(index) - INDEX_END, 8)])
             if total != struct.unpack("<Q", index[-8:])[0]:
                 rules.add("V5")
             with open(os.path.join(path, data_name), "rb") as source:
-                total = 0
+                total, held = 0, []
                 for at, n, _ in spans:
                     source.seek(at)
-                    total ^= city64(source.read(max(0, n)))
+                    held.append(source.read(max(0, n)))
+                    if sum(map(len, held[-1:])) > HASHED or len(held) >= 1024:
+                        total ^= xor_of(held)
+                total ^= xor_of(held)
                 source.seek(size - DATA_END)
                 foot = source.read(DATA_END)
             if total ^ city64(foot[:2]) != struct.unpack("<Q", foot[2:])[0]:

@@ -91,3 +91,13 @@ def resume_state(checkpoints: DataFrame) -> DataFrame:
 def next_epoch(state: DataFrame) -> DataFrame:
     """The state at an epoch's rollover; the epoch is the next shuffle's second seed."""
     return state.withColumns({"epoch": F.col("epoch") + 1, "start_step": F.lit(0)})
+
+
+def seconds_left(done: Column, total: Column, elapsed: Column) -> Column:
+    """What remains of a run of `total` equal parts, by the time that the first ones took."""
+    return elapsed / F.nullif(done, F.lit(0)) * (total - done)
+
+
+def progress(parts: DataFrame, every: int = 10) -> DataFrame:
+    """Of (done, total, seconds), a row per part that is done: the first of each `every`, with the seconds left."""
+    return parts.where(F.col("done") % every == 1).withColumn("seconds_left", seconds_left(F.col("done"), F.col("total"), F.col("seconds")))

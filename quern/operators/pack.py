@@ -75,3 +75,8 @@ def total_steps(plan: DataFrame) -> DataFrame:
 def resumed(plan: DataFrame, start_step: int) -> DataFrame:
     """The plan from a step on; filtered before tokens are joined, so what was done isn't read."""
     return plan.where(F.col("step") >= start_step)
+
+
+def limited(plan: DataFrame, steps: int) -> DataFrame:
+    """The plan up to a training run's last step."""
+    return plan.where(F.col("step") < steps)

@@ -368,10 +368,16 @@ def q43_byte_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q44_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes back from planes and zstd, by its MD5."""
     raw = documents(spark, sf_dir).select("doc_id", codec.words_binary(tk.byte_tokens(F.col("text"))).alias("raw"))
-    framed = raw.withColumns({"frame": codec.compress_udf(4)("raw"), "city": codec.city_udf()("raw")})
+    framed = raw.withColumn("frame", codec.compress_udf(4)("raw"))
     back = framed.withColumn("back", codec.decompress_udf(4)("frame", F.octet_length("raw")))
-    return back.select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), (F.octet_length("frame") > 0).alias("framed"), (F.col("back") == F.col("raw")).alias("same"), "city")
+    return back.select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), (F.octet_length("frame") > 0).alias("framed"), F.md5("back").alias("back_md5"))
+
+
+@query
+def q44b_city_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", codec.city_udf()(F.encode(F.col("text"), "utf-8")).alias("city"))
 
 
 @query
@@ -402,8 +408,9 @@ def q47_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q48_compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = index(spark, sf_dir).withColumn("cbytes", F.col("cbytes") * 4)
-    return metrics.compression_ratio(spans, "shard").select("shard", F.round("ratio", 6).alias("ratio"))
+    """Bytes of text for each of its pieces, by language."""
+    spans = read_table(spark, sf_dir, "documents").select("lang", F.size(tk.regex_pieces(F.col("text"))).alias("token_count"), tk.byte_count(F.col("text")).alias("cbytes"))
+    return metrics.compression_ratio(spans, "lang").select("lang", F.round("ratio", 6).alias("ratio"))
 
 
 @query
@@ -418,3 +425,43 @@ def q50_running_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("tokens"))
     steps = lines.groupBy("l_orderkey", "l_linenumber").agg(F.sum("tokens").alias("tokens"))
     return metrics.running_totals(steps, "l_orderkey", order="l_linenumber")
+
+
+@query
+def q51_resume_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as checkpoints: where the last one goes on, and the epoch after it."""
+    made = documents(spark, sf_dir).select(F.floor(F.col("doc_id") / 100).alias("epoch"), (F.col("doc_id") % 100).alias("step"), F.col("n").cast("long").alias("total_tokens"))
+    state = metrics.resume_state(made)
+    return state.crossJoin(metrics.next_epoch(state).select(F.col("epoch").alias("next_epoch"))).select("epoch", "step", "total_tokens", "start_step", "next_epoch")
+
+
+@query
+def q52_work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers = average.registry(read_table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_id").select(F.col("user_id").alias("worker"))
+    return average.work_items(workers, 3, "model")
+
+
+@query
+def q53_step_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.limited(planned_by_hash(spark, sf_dir), 200).groupBy("step").agg(F.count("*").alias("n_segments"), F.sum("write_count").alias("n_tokens"))
+
+
+@query
+def q54_verify_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as files, verified one after the other at a million characters a second."""
+    sizes = read_table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("n"))
+    before = W.orderBy("source").rowsBetween(W.unboundedPreceding, 0)  # a row per source
+    parts = sizes.select(F.row_number().over(W.orderBy("source")).cast("long").alias("done"), F.count("*").over(W.partitionBy()).alias("total"), (F.sum("n").over(before) / 1e6).alias("seconds"))
+    return metrics.progress(parts).select("done", "total", F.round("seconds_left", 6).alias("seconds_left"))
+
+
+@query
+def q55_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of a public byte-level BPE, and the text that they decode to."""
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    made = tk.encode_with(documents(spark, sf_dir).select("doc_id", "text"), lambda: tk.byte_bpe(ranks, pattern).encode_ordinary)
+    back = tk.decode_with(made, lambda: tk.byte_bpe(ranks, pattern).decode)
+    fit = (F.size("tokens") > 0) & (F.size("tokens") <= F.octet_length("text")) & F.forall("tokens", lambda t: (t >= 0) & (t < 50_257))
+    return back.select("doc_id", F.octet_length("decoded").cast("long").alias("n_bytes"), F.md5("decoded").alias("text_md5"), fit.alias("ids_fit"))

@@ -45,6 +45,30 @@ p AS (
 BY_HASH = f"s AS (SELECT 0 AS grp, row_number() OVER (ORDER BY md5('1234|5678|' || doc_id::VARCHAR), doc_id) AS i, doc_id AS id, n FROM {D})"
 HEX = "regexp_extract_all(hex(encode(text)), '..')"
 
+#: Packing with four lanes over s(i, shard, span, n): a state machine, of which each row is one move. e_i is the span it wrote, null if it wrote none.
+#: A lane begins (phase 0) with what it carries in c, then draws spans (phase 1) until it is full, then the next one begins.
+PACK4 = """
+p AS (
+  SELECT 0::BIGINT AS step, 0 AS lane, 0 AS phase, 0::BIGINT AS put, false AS cont, 0::BIGINT AS seg, 1::BIGINT AS i, list_value(NULL, NULL, NULL, NULL)::STRUCT(i BIGINT, done BIGINT, rest BIGINT)[] AS c, false AS wrote,
+    NULL::BIGINT AS e_i, 0::BIGINT AS e_step, 0 AS e_lane, false AS e_cont, 0::BIGINT AS e_seg, 0::BIGINT AS e_read, 0::BIGINT AS e_write, 0::BIGINT AS e_count
+  UNION ALL
+  SELECT
+    CASE WHEN advance AND lane = 3 THEN step + 1 ELSE step END, CASE WHEN advance THEN (lane + 1) % 4 ELSE lane END, CASE WHEN advance THEN 0 ELSE 1 END,
+    CASE WHEN carried THEN least(held.rest + 1, 2048) WHEN draws THEN least(put + n + 1, 2048) ELSE 0 END,
+    CASE WHEN phase = 0 THEN carried ELSE cont END,
+    CASE WHEN carried THEN 1 WHEN draws THEN seg + 1 ELSE 0 END,
+    CASE WHEN draws THEN i + 1 ELSE i END,
+    CASE WHEN carried THEN list_concat(c[1:lane], [CASE WHEN held.rest - 2048 >= 64 THEN {'i': held.i, 'done': held.done + 2048, 'rest': held.rest - 2048} END], c[lane + 2:4])
+         WHEN draws AND put + n - 2048 >= 64 THEN list_concat(c[1:lane], [{'i': i, 'done': 2048 - put, 'rest': put + n - 2048}], c[lane + 2:4]) ELSE c END,
+    CASE WHEN advance AND lane = 3 THEN false ELSE wrote OR carried OR draws END,
+    CASE WHEN carried THEN held.i WHEN draws THEN i END, step, lane, CASE WHEN phase = 0 THEN carried ELSE cont END, CASE WHEN carried THEN 0 ELSE seg END,
+    CASE WHEN carried THEN held.done ELSE 0 END, CASE WHEN carried THEN 0 ELSE put END, CASE WHEN carried THEN least(held.rest, 2048) ELSE least(n, 2048 - put) END
+  FROM (
+    SELECT p.*, s.n, c[lane + 1] AS held, phase = 0 AND c[lane + 1] IS NOT NULL AS carried,
+      phase = 1 AND 2048 - put > 64 AND s.n IS NOT NULL AS draws, phase = 1 AND NOT (2048 - put > 64 AND s.n IS NOT NULL) AS advance
+    FROM p LEFT JOIN s ON s.i = p.i)
+  WHERE NOT (advance AND lane = 3 AND NOT wrote))"""
+
 #: The rows of a one-lane plan as their tokens, padding between segments.
 ROWS = f"""
 t AS (SELECT doc_id, list_transform({HEX}, lambda h: ('0x' || h)::INTEGER) AS ids FROM documents),
@@ -60,6 +84,8 @@ lst AS (SELECT epoch, shard, c, row_number() OVER (PARTITION BY epoch ORDER BY m
 pl AS (SELECT *, row_number() OVER (PARTITION BY epoch, shard ORDER BY place) - 1 AS nth, count(*) OVER (PARTITION BY epoch) AS l FROM lst),
 inter AS (SELECT sl.epoch, sl.rank, sl.shard, sl.span, sl.n, (k // 16) * l + place AS vt FROM sl JOIN pl ON pl.epoch = sl.epoch AND pl.shard = sl.shard AND pl.nth = k % 16)"""
 
+FOUR = f"{EPOCH.format(epochs=1, ranks=1)}, s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vt) AS i, shard, span, n FROM inter)"
+
 STORED = f"st AS (SELECT i.shard, i.span, i.off, i.token_count, i.cbytes, d.text AS data FROM {OFFSETS} i JOIN {D} d USING (doc_id))"
 FOOTERS = f"fo AS (SELECT shard, count(*) AS n_spans, sum(cbytes)::BIGINT AS data_bytes, bit_xor({bits("off::VARCHAR || '|' || token_count::VARCHAR")}) AS index_hash, bit_xor({bits('data')}) AS data_hash, 14 AS version, 1 AS token_bytes FROM st GROUP BY shard)"
 
@@ -69,7 +95,7 @@ def verified(broken: str, version: str) -> str:
 WITH {STORED}, {FOOTERS},
 br AS ({broken}),
 nx AS (SELECT *, lead(off) OVER (PARTITION BY shard ORDER BY span) AS nxt FROM br),
-re AS (SELECT shard, count(*) AS r_n, sum(cbytes)::BIGINT AS r_bytes, count(*) FILTER (nxt <= off) AS falls, bit_xor({bits("off::VARCHAR || '|' || token_count::VARCHAR")}) AS r_index, bit_xor({bits('data')}) AS r_data FROM nx GROUP BY shard),
+re AS (SELECT shard, count(*) AS r_n, sum(cbytes)::BIGINT AS r_bytes, count(*) FILTER (nxt <= off) AS falls, count(*) FILTER (nxt - off <> cbytes) AS gaps, max_by(off + cbytes, span) AS r_end, bit_xor({bits("off::VARCHAR || '|' || token_count::VARCHAR")}) AS r_index, bit_xor({bits('data')}) AS r_data FROM nx GROUP BY shard),
 j AS (SELECT fo.* REPLACE ({version} AS version), re.* EXCLUDE (shard) FROM fo JOIN re USING (shard)),
 v AS (
   SELECT 'V2' AS rule, shard FROM j WHERE version <> 14
@@ -77,9 +103,10 @@ v AS (
   UNION ALL SELECT 'V4', shard FROM j WHERE falls > 0
   UNION ALL SELECT 'V5', shard FROM j WHERE index_hash <> r_index
   UNION ALL SELECT 'V6', shard FROM j WHERE data_hash <> r_data
-  UNION ALL SELECT 'count', shard FROM j WHERE n_spans <> r_n)
+  UNION ALL SELECT 'count', shard FROM j WHERE n_spans <> r_n
+  UNION ALL SELECT 'size', shard FROM j WHERE gaps > 0 OR r_end <> data_bytes)
 SELECT rule, count(shard)::BIGINT AS n_shards, coalesce(sum(shard), 0)::BIGINT AS sum_shards
-FROM (SELECT unnest(['V2', 'V3', 'V4', 'V5', 'V6', 'count']) AS rule) LEFT JOIN v USING (rule) GROUP BY rule"""
+FROM (SELECT unnest(['V2', 'V3', 'V4', 'V5', 'V6', 'count', 'size']) AS rule) LEFT JOIN v USING (rule) GROUP BY rule"""
 
 
 METRICS = f"FROM labels JOIN {D} d USING (doc_id)"
@@ -126,6 +153,8 @@ SELECT shard, span, file, off AS "offset" FROM f""",
     "q25_interleave": f"WITH {EPOCH.format(epochs=1, ranks=2)} SELECT rank, shard, span, row_number() OVER (PARTITION BY epoch, rank ORDER BY vt) - 1 AS seq FROM inter",
     "q26_pack_b1": f"WITH RECURSIVE {BY_HASH}, {PACK} SELECT {SEGMENTS}",
     "q27_steps_b1": f"WITH RECURSIVE {BY_HASH}, {PACK} SELECT step::INTEGER AS step, count(*) AS n_segments, sum(write_count)::BIGINT AS n_tokens, max(write_off + write_count) AS num_tokens FROM p GROUP BY step",
+    "q28_pack_bn": f"WITH RECURSIVE {FOUR}, {PACK4} SELECT e_step::INTEGER AS step, e_lane AS lane, e_cont AS is_continuation, e_seg::INTEGER AS seg, shard, span, e_read::INTEGER AS read_off, e_write::INTEGER AS write_off, e_count::INTEGER AS write_count FROM p JOIN s ON s.i = p.e_i",
+    "q29b_batches_bn": f"WITH RECURSIVE {FOUR}, {PACK4} SELECT e_step::INTEGER AS step, count(DISTINCT e_lane) AS n_rows, max(e_write + e_count)::INTEGER AS num_tokens, sum(e_count)::BIGINT AS n_tokens FROM p WHERE e_i IS NOT NULL GROUP BY e_step",
     "q29_batches": f"WITH RECURSIVE {BY_HASH}, {PACK}, {ROWS} SELECT step::INTEGER AS step, 0 AS row, cont AS is_continuation, len(tokens)::INTEGER AS num_tokens, list_sum(tokens)::BIGINT AS sum_tokens, md5(array_to_string(tokens, ',')) AS tokens_md5 FROM b",
     "q30_resume": f"WITH RECURSIVE {BY_HASH}, {PACK} SELECT {SEGMENTS} WHERE step >= 100",
     "q31_multi_epoch": f"WITH RECURSIVE {EPOCH.format(epochs=3, ranks=2)}, s AS (SELECT epoch * 2 + rank AS grp, row_number() OVER (PARTITION BY epoch, rank ORDER BY vt) AS i, shard * 1000000000 + span AS id, n FROM inter), {PACK} SELECT (grp // 2)::INTEGER AS epoch, (grp % 2)::INTEGER AS rank, max(step) + 1 AS total_steps, sum(write_count)::BIGINT AS n_tokens, count(*) AS n_segments FROM p GROUP BY grp",
@@ -144,15 +173,31 @@ SELECT step, round(loss, 6) AS loss, tokens, correct, round(100.0::DOUBLE * corr
 WITH c AS (SELECT 'step_' || (doc_id + 2) || '.pth' AS name, doc_id FROM documents)
 SELECT 'name' AS by, min(name) AS name FROM c HAVING count(*) > 1 UNION ALL SELECT 'number', arg_min(name, doc_id) FROM c HAVING count(*) > 1""",
     "q40_update_average": "SELECT label, (i - 1)::INTEGER AS idx, round(avg(embedding[i]::DOUBLE), 6) AS value FROM embeddings, unnest(range(1, 65)) AS r(i) GROUP BY label, i",
+    "q41_diloco_fold": """
+WITH RECURSIVE u AS (SELECT label, j, vec_id, embedding[j]::DOUBLE AS u, row_number() OVER (PARTITION BY label, j ORDER BY vec_id) AS i FROM embeddings, unnest(range(1, 65)) AS r(j)),
+f AS (
+  SELECT label, j, i, vec_id, u AS held, 1 AS n, 0.0::DOUBLE AS speed, -0.1::DOUBLE * u AS value FROM u WHERE i = 1
+  UNION ALL
+  SELECT u.label, u.j, u.i, u.vec_id, CASE WHEN f.n = 3 THEN 0.0 ELSE f.held + u.u END, (f.n + 1) % 4,
+    CASE WHEN f.n = 3 THEN 0.9::DOUBLE * f.speed + (f.held + u.u) / 4 ELSE f.speed END,
+    CASE WHEN f.n = 3 THEN f.value - 0.7::DOUBLE * ((f.held + u.u) / 4 + 0.9::DOUBLE * (0.9::DOUBLE * f.speed + (f.held + u.u) / 4)) ELSE f.value - 0.1::DOUBLE * u.u END
+  FROM f JOIN u ON u.label = f.label AND u.j = f.j AND u.i = f.i + 1)
+SELECT label::VARCHAR AS name, (j - 1)::INTEGER AS idx, vec_id AS seq, round(value, 6) AS value FROM f""",
     "q42_rms_norm": "SELECT vec_id, (i - 1)::INTEGER AS idx, round(embedding[i]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding) + 1e-6::DOUBLE), 6) AS value FROM embeddings, unnest(range(1, 65)) AS r(i)",
     "q43_byte_planes": "SELECT doc_id, list_sum(list_transform(t, lambda x: x & 255))::BIGINT AS plane0, list_sum(list_transform(t, lambda x: (x >> 8) & 255))::BIGINT AS plane1, list_sum(list_transform(t, lambda x: (x >> 16) & 255))::BIGINT AS plane2, list_sum(list_transform(t, lambda x: (x >> 24) & 255))::BIGINT AS plane3 FROM (SELECT doc_id, list_transform(string_split(text, ''), lambda c: unicode(c)) AS t FROM documents)",
+    "q44_codec_roundtrip": "SELECT doc_id, (strlen(text) * 4)::BIGINT AS n_bytes, true AS framed, md5(unhex(regexp_replace(hex(encode(text)), '(..)', '\\1000000', 'g'))) AS back_md5 FROM documents",
     "q45_split_invariants": f"""
 WITH RECURSIVE {holdout('0')}
 SELECT 'corpus' AS what, count(*) AS n FROM {D} UNION ALL SELECT 'train', count(*) FILTER (NOT held_out) FROM f UNION ALL SELECT 'holdout', count(*) FILTER (held_out) FROM f
 UNION ALL SELECT 'both', 0 UNION ALL SELECT 'lost', (SELECT count(*) FROM {D}) - (SELECT count(*) FROM f) UNION ALL SELECT 'invented', 0""",
     "q46_worker_registry": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS last_event, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS n_events FROM events GROUP BY user_id",
     "q47_rejected": "WITH t AS (SELECT CASE WHEN turn = 3 THEN NULL WHEN turn = 4 THEN '' ELSE text END AS text FROM conversations) SELECT count(*) FILTER (text IS NULL) AS n_null, count(*) FILTER (text = '') AS n_empty, count(*) FILTER (text <> '') AS n_kept, (sum(strlen(text)) FILTER (text <> ''))::BIGINT AS n_tokens FROM t",
-    "q48_compression_ratio": f"SELECT shard, round(sum(cbytes * 4) / sum(token_count), 6)::DOUBLE AS ratio FROM {INDEX} GROUP BY shard",
+    "q48_compression_ratio": f"SELECT lang, round(sum(strlen(text)) / sum(len(regexp_extract_all(text, '{PIECES}'))), 6)::DOUBLE AS ratio FROM documents GROUP BY lang",
     "q49_idempotent_ingest": "SELECT DISTINCT 'data/' || source AS file FROM documents WHERE NOT ('data/' || source < 'data/src15')",
     "q50_running_tokens": "SELECT l_orderkey, l_linenumber, tokens, (sum(tokens) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING))::BIGINT AS tokens_so_far FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity::BIGINT)::BIGINT AS tokens FROM lineitem GROUP BY ALL)",
+    "q51_resume_state": "SELECT max(doc_id) // 100 AS epoch, max(doc_id) % 100 AS step, arg_max(strlen(text), doc_id)::BIGINT AS total_tokens, max(doc_id) % 100 + 1 AS start_step, max(doc_id) // 100 + 1 AS next_epoch FROM documents",
+    "q52_work_items": "SELECT user_id AS worker, 'work_' || md5('3|' || user_id::VARCHAR) AS work_item_id, 'model' AS model, 50 AS num_steps, 0.001::DOUBLE AS learning_rate, 32 AS batch_size FROM (SELECT DISTINCT user_id FROM events)",
+    "q53_step_limit": f"WITH RECURSIVE {BY_HASH}, {PACK} SELECT step::INTEGER AS step, count(*) AS n_segments, sum(write_count)::BIGINT AS n_tokens FROM p WHERE step < 200 GROUP BY step",
+    "q54_verify_progress": "SELECT done, total, round(seconds / done * (total - done), 6)::DOUBLE AS seconds_left FROM (SELECT row_number() OVER (ORDER BY source) AS done, count(*) OVER () AS total, (sum(n) OVER (ORDER BY source))::DOUBLE / 1e6::DOUBLE AS seconds FROM (SELECT source, sum(n_chars) AS n FROM documents GROUP BY source)) WHERE done % 10 = 1",
+    "q55_bpe_roundtrip": "SELECT doc_id, strlen(text)::BIGINT AS n_bytes, md5(text) AS text_md5, true AS ids_fit FROM documents",
 }

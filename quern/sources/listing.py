@@ -57,6 +57,17 @@ def rank_starts(hosts: DataFrame, count: str = "rank_count", order: str = "ord")
     return hosts.withColumns({"rank_start": F.coalesce(F.sum(count).over(before), F.lit(0)).cast("long"), "world": F.sum(count).over(W.partitionBy()).cast("long")})
 
 
+def longs(values: list[int]) -> Column:
+    """A literal array, made at once however long it is."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def count_at_most(listed: Column, size: int, key: Column) -> Column:
+    """How many of the `size` ascending elements of an array are at most `key`, by halving."""
+    steps = [1 << i for i in reversed(range(size.bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps or [1])), F.lit(0), lambda at, step: F.when((at + step <= size) & (F.get(listed, at + step - 1) <= key), at + step).otherwise(at))
+
+
 #: Rows drawn for each range when bounds are chosen.
 DRAWN = 24
 
@@ -77,8 +88,7 @@ def range_of(df: DataFrame, order: tuple[str, ...], ranges: int) -> Column:
     kinds = [f.dataType for f in keys.schema.fields]
     listed = F.array(*[F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(row, kinds, order)]) for row in bounds])
     key = F.struct(*[F.col(n).alias(n) for n in order])
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(listed, at + step - 1) <= key), at + step).otherwise(at))
+    return count_at_most(listed, len(bounds), key)
 
 
 def with_ordinal(df: DataFrame, *order: str, name: str = "ord", partitions: int | None = None) -> DataFrame:
@@ -94,9 +104,9 @@ def with_ordinal(df: DataFrame, *order: str, name: str = "ord", partitions: int
     counts = dict(placed.groupBy("_p").count().collect())
     starts, total = [], 0
     for p in range(ranges):
-        starts.append(str(total))
+        starts.append(total)
         total += counts.get(p, 0)
-    before = F.get(F.split(F.lit(",".join(starts)), ",").cast("array<bigint>"), F.col("_p"))
+    before = F.get(longs(starts), F.col("_p"))
     place = F.row_number().over(W.partitionBy("_p").orderBy(*order))
     return placed.withColumn(name, before + place - 1).drop("_p")
 

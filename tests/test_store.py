@@ -1,6 +1,7 @@
 """Writing, verifying, loading, listings and the holdout split."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,61 @@ def test_loader_reads_all(spark, corpus):
     loader.destroy()
 
 
+@pytest.fixture(scope="module")
+def rotated(spark, tmp_path_factory):
+    """A corpus of many small files."""
+    tmp_path = tmp_path_factory.mktemp("rotated")
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") * 37 % 91 + 1).cast("int")).alias("text"))
+    CorpusWriter(str(tmp_path), CorpusConfig(byte_tokens=True, holdout_rate=20, num_shards=3, rotate_bytes=4000)).write(docs)
+    return str(tmp_path), docs
+
+
+def test_writers_rotate(spark, rotated):
+    path, docs = rotated
+    spans = [store.read_spans(spark, path, s).toPandas() for s in store.SPLITS]
+    assert sorted(i for s in spans for i in s.doc_id) == list(range(3000))
+    for name, frame in zip(store.SPLITS, spans):
+        assert verify_corpus(spark, path, name).isEmpty()
+        frame = frame.sort_values(["shard", "span"])
+        sizes = frame.groupby("shard").cbytes.agg(["sum", "last", "count"])
+        assert list(sizes.index) == list(range(len(sizes))) and len(sizes) > 3
+        # A file ends with the write that reaches the cap; a writer's last one may be short.
+        assert (sizes["sum"] - sizes["last"] < 4000).all() and (sizes["sum"] < 4000).sum() <= 3
+        index = store.read_index(spark, path, name).toPandas().sort_values(["shard", "span"])
+        assert (index.offset.values == (frame.groupby("shard").cbytes.cumsum() - frame.cbytes).values).all()
+        assert len(store.read_manifest(store.get_text(spark, f"{path}/{name}.json"))["data_files"]) == len(sizes)
+    loader = CorpusLoader(spark, path)
+    batches = loader.begin_epoch(EpochConfig(1, 2, micro_batch_size=2, context_size=256, min_data_length=0))
+    assert batches.select(F.sum(F.size(F.filter("tokens", lambda t: t != -1)))).first()[0] == spans[0].token_count.sum()
+    loader.destroy()
+
+
+def held(table):
+    """A table's rows, apart from its files."""
+    return table.sparkSession.createDataFrame(table.collect(), table.schema)
+
+
+@pytest.mark.parametrize(("change", "rules"), [("offset", {"V4", "V5", "size"}), ("token_count", {"V5"}), ("lost record", {"V5", "size"}), ("tokens", {"V6"}), ("longer", {"V3", "V6", "size"}), ("footer", {"V1", "V2", "V3", "V5", "V6", "count", "size"})])
+def test_damage_to_what_is_stored(spark, rotated, tmp_path, change, rules):
+    path = str(tmp_path / "corpus")
+    shutil.copytree(rotated[0], path)
+    here = (F.col("split") == "train") & (F.col("shard") == 1) & (F.col("span") == 5)
+    table, new = {
+        "offset": ("index", lambda t: t.withColumn("offset", F.when(here, F.lit(3).cast("long")).otherwise(F.col("offset")))),
+        "token_count": ("index", lambda t: t.withColumn("token_count", F.when(here, F.lit(3)).otherwise(F.col("token_count")))),
+        "lost record": ("index", lambda t: t.where(~here)),
+        "tokens": ("spans", lambda t: t.withColumn("tokens", F.when(here, F.transform("tokens", lambda x: x + 1)).otherwise(F.col("tokens")))),
+        "longer": ("spans", lambda t: t.withColumn("tokens", F.when(here, F.concat("tokens", "tokens")).otherwise(F.col("tokens")))),
+        "footer": ("footers/train", lambda t: t.where("shard <> 1")),
+    }[change]
+    frame = new(held(spark.read.parquet(f"{path}/{table}")))
+    writer = frame.write.mode("overwrite")
+    (writer if change == "footer" else writer.partitionBy("split", "shard")).parquet(f"{path}/{table}")
+    found = {(r["shard"], r["rule"]) for r in verify_corpus(spark, path).collect()}
+    assert {s for s, _ in found} == {1} and {r for _, r in found} <= rules and found, found
+    assert len({r for _, r in found} & rules) >= len(rules) - 1
+
+
 def test_manifest_errors():
     good = store.manifest([], 4)
     assert store.read_manifest(json.dumps(good), 4)["data_files"] == []
