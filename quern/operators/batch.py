@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quern.config import PADDING, EpochConfig
 from quern.operators.epoch import interleaved
 from quern.operators.pack import resumed, segments, total_steps
-from quern.operators.store import read_spans
+from quern.operators.store import read_index, read_spans
 from quern.shipping import ship
 
 
@@ -126,8 +126,10 @@ class CorpusLoader:
 
     def __init__(self, spark: SparkSession, path: str, split: str = "train") -> None:
         self.spans = read_spans(spark, path, split)
+        self.index = read_index(spark, path, split)
         self.spark = spark
         self.plan: DataFrame | None = None
+        self._batches: DataFrame | None = None
         self._rows: Iterator | None = None
         self._held = None
         self.total_steps = 0
@@ -136,20 +138,21 @@ class CorpusLoader:
         """Plan an epoch; the batches of this rank, as a lazy table whose partitions hold the steps in order."""
         number = config.seed1 if epoch is None else epoch
         epochs = self.spark.range(1).select(F.lit(number).alias("epoch"))
-        ordered = interleaved(self.spans.select("shard", "span", "token_count"), config.seed0, epochs, config.local_rank_count).where(F.col("rank") == config.local_rank)
+        ordered = interleaved(self.index.select("shard", "span", "token_count"), config.seed0, epochs, config.local_rank_count).where(F.col("rank") == config.local_rank)
         whole = segments(ordered, config.micro_batch_size, config.context_size, config.min_data_length).cache()
         self.plan = whole
         found = total_steps(whole).first()
         self.total_steps = found["total_steps"] if found else 0
         batches = assemble(resumed(whole, config.start_step), self.spans, config.padding_token, self.total_steps)
-        self._rows = batches.toLocalIterator(prefetchPartitions=True)
-        self._held = None
+        self._batches, self._rows, self._held = batches, None, None
         return batches
 
     def get_micro_batch(self):
         """(rows of tokens, is_continuation, step, total_steps) of the next step, four Nones at the end."""
-        if self._rows is None:
+        if self._batches is None:
             raise RuntimeError("no epoch has begun")
+        if self._rows is None:
+            self._rows = self._batches.toLocalIterator(prefetchPartitions=True)
         first = self._held or next(self._rows, None)
         if first is None:
             return None, None, None, None
@@ -164,4 +167,4 @@ class CorpusLoader:
     def destroy(self) -> None:
         if self.plan is not None:
             self.plan.unpersist()
-        self.plan = self._rows = self._held = None
+        self.plan = self._batches = self._rows = self._held = None
