@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.shipping import ship
+
 
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, not just one task."""
@@ -17,6 +19,28 @@ def worker_cache() -> dict:
     return module.__dict__.setdefault("kept", {})
 
 
+def trimmed(run):
+    """A function of batches that gives memory it has freed back to the system after each batch, for the many others on a machine."""
+
+    def outer(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            trim = ctypes.CDLL(None).malloc_trim
+        except AttributeError:  # not glibc
+            trim = None
+        for batch in run(batches):
+            yield batch
+            del batch
+            pa.default_memory_pool().release_unused()
+            if trim:
+                trim(0)
+
+    return outer
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (local mode)."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -32,6 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read again: cuts the lineage, survives lost executors, evaluates once."""
+    ship(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

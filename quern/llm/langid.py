@@ -26,6 +26,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm._common import trimmed
+from quern.shipping import ship
+
 DIM = 4096
 #: Rows that a language is learnt from, if it has them, however many languages share the sample.
 LEAST = 30
@@ -116,7 +119,7 @@ def fit(labelled: DataFrame, sample: int = 3000) -> dict:
                 made = features(texts[a : a + 256].to_pylist()).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([langs[a : a + 256], pa.array([r.tobytes() for r in made], pa.binary())], names=["lang", "x"])
 
-    rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang").mapInArrow(run, "lang string, x binary").collect()
+    rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang").mapInArrow(trimmed(run), "lang string, x binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     lang = np.array([r["lang"] for r in rows])
     x = np.ones((len(rows), DIM + 1), np.float32)
@@ -178,7 +181,8 @@ def annotate(docs: DataFrame, model: dict) -> DataFrame:
             extra = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "lang_pred", "family", "score"])
 
-    return docs.mapInArrow(run, schema)
+    ship(docs.sparkSession)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def keep_known(docs: DataFrame, model: dict) -> DataFrame:
@@ -193,7 +197,8 @@ def keep_known(docs: DataFrame, model: dict) -> DataFrame:
                 known += [f[0] != UNKNOWN for f in predict(model, some)] if model["langs"] else [has_letter(t) for t in some]
             yield batch.filter(pa.array(known, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    ship(docs.sparkSession)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def identify(docs: DataFrame, sample: int = 3000) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm._common import lookup, materialize, small, text_key
+from quern.llm._common import lookup, materialize, small, text_key, trimmed
 
 def chunks(text: str, span: int = 3, divisor: int = 4) -> list[tuple[str, int]]:
     """The chunks of a text, which concatenated are the text, with their numbers of lines."""
@@ -131,7 +131,7 @@ def places(docs: DataFrame, keys: Callable[[str], list[str]]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
     source = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), *text_key(F.col("text")), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, t1 long, t2 long, low long, high long, copies long")
+    return source.mapInArrow(trimmed(run), "id long, t1 long, t2 long, low long, high long, copies long")
 
 
 def with_repeats(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -165,7 +165,7 @@ def unequal(docs: DataFrame, lists: DataFrame, keys: Callable[[str], list[str]])
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.string()))], names=names)
 
     listed = with_repeats(docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")), lists, "inner").select("text", "__quern_repeats")
-    different = listed.mapInArrow(run, "low long, high long, chunk string").groupBy("low", "high", "chunk").agg(F.lit(1).alias("_"))
+    different = listed.mapInArrow(trimmed(run), "low long, high long, chunk string").groupBy("low", "high", "chunk").agg(F.lit(1).alias("_"))
     return different.groupBy("low", "high").agg(F.count("*").alias("_k")).where("_k > 1").select("low", "high")
 
 
@@ -240,7 +240,7 @@ def drop(docs: DataFrame, keys: Callable, without: Callable) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*batch.schema.names[:last], "n_lines_removed"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(trimmed(run), schema)
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.shipping import ship
+
 FRAME, ACROSS, DOWN, FPS = 192, 16, 12, 25
 DC_BITS = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
 AC_BITS = [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 0x7D]
@@ -400,6 +402,7 @@ def encode(docs: DataFrame) -> DataFrame:
                     ids, sizes, payloads, held = [], [], [], 0
             yield made(ids, sizes, payloads)
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, MEDIA)
 
 
@@ -477,6 +480,7 @@ def read_films(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
                 start = max(stop, 1)
 
+    ship(media.sparkSession)
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, FILM)
 
 

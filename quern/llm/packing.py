@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import worker_cache
+from quern.llm._common import trimmed, worker_cache
+from quern.shipping import ship
 
 PIECES = "doc_id long, start long, length int, ids binary, doc_tokens long"
 SPECIAL = "<|endoftext|>"
@@ -34,15 +35,21 @@ def byte_bpe(json_path: str, ranks_path: str, pattern: str) -> Callable[[str], l
         import base64
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        slow = Tokenizer.from_file(json_path)
-        cache[json_path, ranks_path] = fast.encode_ordinary, slow
-    fast, slow = cache[json_path, ranks_path]
-    return lambda text: slow.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast(text)
+        cache[json_path, ranks_path] = fast.encode_ordinary
+    fast = cache[json_path, ranks_path]
+
+    def slow(text: str) -> list[int]:
+        from tokenizers import Tokenizer
+
+        if json_path not in cache:
+            cache[json_path] = Tokenizer.from_file(json_path)
+        return cache[json_path].encode(text, add_special_tokens=False).ids
+
+    return lambda text: slow(text) if SPECIAL in text else fast(text)
 
 
 def cuts(n: int, max_len: int) -> list[tuple[int, int]]:
@@ -85,7 +92,8 @@ def decompose(docs: DataFrame, tokenizer: tuple[str, str, str], max_len: int = 2
                     rows, size = [[], [], [], [], []], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    ship(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: tuple[str, str, str], max_len: int = 2048, end_id: int = 1) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import lookup, materialize
+from quern.llm._common import lookup, materialize, trimmed
 
 #: Members of a bucket that one task holds.
 HELD = 8192
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             found = fingerprint_texts(batch.column(1).to_pylist(), size).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run), "doc_id long, fingerprint long")
 
 
 def cover(bits: list[int], radius: int) -> list[int]:
@@ -198,7 +198,7 @@ def in_buckets(keyed: DataFrame, found: Callable[[list], pa.RecordBatch], schema
             yield found([x for x in [(name, np.concatenate(held))] if len(x[1]) > 1])
 
     n = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return keyed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return keyed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(run), schema)
 
 
 def links(distinct: DataFrame, radius: int) -> DataFrame:
