@@ -19,6 +19,7 @@ rows each get a row. Extra columns are not read.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +40,11 @@ GIVEN = (
 TITLES = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Doña)\.? |(?:[Mm]y name is|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m'appelle|[Mm]e llamo|[Mm]i nombre es) "
 WORD = r"\p{Lu}[\p{Ll}]{1,30}+(?:-\p{Lu}[\p{Ll}]{1,30}+)?"
 LOOSE = {
-    "id": r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{8}-?[A-Z]|[XYZ]-?[0-9]{7}-?[A-Z]|[12] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}|[1-9][0-9] ?[0-9]{3} ?[0-9]{3} ?[0-9]{3}|[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?)(?![0-9A-Za-z-])",
+    "id": r"(?<![0-9A-Za-z-])(?=[0-9]|[XYZ]|[A-Z]{2}[0-9])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{8}-?[A-Z]|[XYZ]-?[0-9]{7}-?[A-Z]|[12] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}|[1-9][0-9] ?[0-9]{3} ?[0-9]{3} ?[0-9]{3}|[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?)(?![0-9A-Za-z-])",
     "secret": r"(?:(?i)\b(?:password|passwd|passwort|kennwort|mot de passe|contraseña|token|secret|api[_-]?key) ?[=:] ?[\x22']?[A-Za-z0-9_+/!$-]{6,200}+[\x22']?)|\b(?:AKIA[0-9A-Z]{16}|gh[ps]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})\b",
-    "local": r"(?<![0-9+.-])(?:\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}|0[1-9](?:[ .-][0-9]{2}){4}|0[1-9][0-9]{1,3}[ /-][0-9]{5,8}|[6789][0-9]{2}[ .-][0-9]{3}[ .-][0-9]{3})(?![0-9.-]*[0-9])",
-    "name": rf"\b(?:{TITLES})(?:{WORD})(?: {WORD})?|(?<![\p{{L}}\p{{N}}])(?:{GIVEN}) {WORD}",
+    "local": r"(?<![0-9+.-])(?=[(0-9])(?:\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}|0[1-9](?:[ .-][0-9]{2}){4}|0[1-9][0-9]{1,3}[ /-][0-9]{5,8}|[6789][0-9]{2}[ .-][0-9]{3}[ .-][0-9]{3})(?![0-9.-]*[0-9])",
+    # A look ahead at the first letter spares the lists at most words.
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?=[DFHMPS]|my n|ich h|mein |je m'|[IJ]|me l|mi n)(?:{TITLES})(?:{WORD})(?: {WORD})?|(?=\p{{Lu}}\p{{Ll}})(?:{GIVEN}) {WORD})",
 }
 BASE = ["email", "ip", "card", "phone"]
 CONTEXT = {
@@ -190,7 +192,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, base (array of start, rank, end, kind) and loose (array of start, end, kind, votes, shape) of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     digit = F.col("_t").rlike("[0-9]")
-    gates = {"email": F.contains("_t", F.lit("@")), "ip": digit, "card": digit, "phone": F.contains("_t", F.lit("+")), "id": digit, "local": digit, "secret": F.col("_t").rlike("(?i)passw|kennwort|mot de passe|contrase|token|secret|key|AKIA|gh[ps]_|sk-"), "name": F.col("_t").rlike(LOOSE["name"])}
+    low = F.lower("_t")
+    said = [F.contains(low, F.lit(w)) for w in ("passw", "kennwort", "mot de passe", "contrase", "token", "secret", "key")] + [F.contains("_t", F.lit(w)) for w in ("AKIA", "ghp_", "ghs_", "sk-")]
+    gates = {"email": F.contains("_t", F.lit("@")), "ip": digit, "card": digit, "phone": F.contains("_t", F.lit("+")), "id": digit, "local": digit, "secret": reduce(Column.__or__, said), "name": F.col("_t").rlike(LOOSE["name"])}
     read = docs.select("doc_id", text.alias("_t"))
     found = matches(read, {k: (p, gates[k]) for k, p in {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, **LOOSE}.items()})
 
