@@ -20,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of two or more lines are cut out but for the first; a document of which nothing is left goes. n_chars follows the text."""
+    """Repeated runs of two or more lines, found by content-defined chunks and then exactly to their edges, are cut out but for the first; a document of which nothing is left goes. n_chars follows the text."""
     kept = linededup.drop_runs(docs).where("text <> ''")
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 

@@ -7,22 +7,23 @@ with the same run that of the least doc_id, therein the first place. Where a run
 overlaps its own first copy only what lies behind that goes. Every different line
 of the corpus stays somewhere.
 
-Runs are found by their seeds, which are as short as a run can be: two lines with a
-letter or digit in one of them, or, where several lines without any follow each
-other, such a line and all up to the nearest with one, on either side. A repeated
-run is the union of its seeds, each of them repeated, and a repeated seed is a
-repeated run; so no growing is needed and no run is missed. A text's last line end
-doesn't start another line.
-
-`drop_runs` does that. `drop_repeats` is the coarser rule of content-defined chunks:
-a rolling hash over the last `span` line hashes closes a chunk where it is 0 modulo
-`divisor`, and only whole chunks are compared, so that short runs and the edges of
-long ones stay.
-
-First the seeds' 128-bit hashes are counted, which is all that is shuffled of most.
-Of those that repeat the very bytes are compared before anything is removed, so
-different lines are never taken for one another. (Seeds of three and more lines are
-compared by SHA-256, as their bytes would grow by the square.)
+Texts are cut into content-defined chunks: a rolling hash over the last `span` line
+hashes closes a chunk where it is 0 modulo `divisor`. Chunks of two or more lines are
+grouped, and all copies of one but the first go. That is all `drop_repeats` does, by
+which short runs and the edges of long ones stay.
+
+`drop_runs` goes on from there to the whole of each run, by seeds, which are as short
+as a run can be: two lines with a letter or digit in one of them, or, where several
+lines without any follow each other, such a line and all up to the nearest with one,
+on either side. A repeated run is the union of its seeds, each of them repeated, and a
+repeated seed is a repeated run; so no run is missed. Seeds inside a later copy of a
+chunk are settled: they aren't named again, as the chunk's first copy has the same
+ones at an earlier place. A text's last line end doesn't start another line.
+
+First the 128-bit hashes of chunks, and then of seeds, are counted, which is all that
+is shuffled of most. Of those that repeat the very bytes are compared before anything
+is removed, so different lines are never taken for one another. (Seeds of three and
+more lines are compared by SHA-256, as their bytes would grow by the square.)
 
 A null text stays null, an empty one empty; a text all of which goes becomes
 empty. Repeated rows of one doc_id count as one document: their first copies stay
@@ -77,10 +78,26 @@ def counts_as(chunk: str, lines: int) -> bool:
     return lines > 1 and any(map(str.isalnum, chunk))
 
 
-def chunk_keys(text: str) -> list[str]:
+def chunk_keys(text: str, known: dict[tuple[int, int], bool]) -> list[str]:
     return [body(chunk) for chunk, lines in chunks(text) if counts_as(chunk, lines)]
 
 
+def passages(text: str) -> list[tuple[int, int, str]]:
+    """The chunks of two or more lines, in the form of `seeds`; the empty string behind a last line end is no line."""
+    n = text.count("\n") + (not text.endswith("\n") and text != "")
+    out, start = [], 0
+    for chunk, lines in chunks(text):
+        end = min(start + lines, n)
+        if counts_as(chunk, end - start):
+            out.append((start, end, body(chunk)))
+        start += lines
+    return out
+
+
+def passage_keys(text: str, known: dict[tuple[int, int], bool]) -> list[str]:
+    return [key for _, _, key in passages(text)]
+
+
 def seeds(text: str) -> list[tuple[int, int, str]]:
     """The seeds of a text: first line, line behind the last, and what is compared; the copies of each in order."""
     import hashlib
@@ -105,21 +122,45 @@ def seeds(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def seed_keys(text: str) -> list[str]:
-    return [key for _, _, key in seeds(text)]
+def copies(found: list[tuple[int, int, str]], known: dict[tuple[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """The lines that go, from and to: of those in `known`, but for the first copy of those that are true there."""
+    behind: dict[tuple[int, int], int] = {}
+    for start, end, key in found:
+        which = name(key)
+        if which not in known:
+            continue
+        if known[which] and which not in behind:
+            behind[which] = end
+            continue
+        start = max(start, behind.get(which, 0))
+        if start < end:
+            yield start, end
+
+
+def seed_keys(text: str, known: dict[tuple[int, int], bool] = {}) -> list[str]:  # noqa: B006
+    """The seeds of a text, but for those inside a chunk that goes as `known` has it."""
+    if not known:
+        return [key for _, _, key in seeds(text)]
+    inside = [0] * (text.count("\n") + 1)
+    for which, (start, end) in enumerate(copies(passages(text), known), 1):
+        inside[start:end] = [which] * (end - start)
+    return [key for start, end, key in seeds(text) if not inside[start] or inside[start] != inside[end - 1]]
+
 
+Keys = Callable[[str, dict[tuple[int, int], bool]], list[str]]
 
-def places(docs: DataFrame, keys: Callable[[str], list[str]]) -> DataFrame:
-    """(id, t1, t2, low, high, copies): the names of each text's `keys`; t1 and t2 name the text."""
+
+def places(docs: DataFrame, keys: Keys, settled: DataFrame | None = None) -> DataFrame:
+    """(id, t1, t2, low, high, copies): the names of each text's `keys`, given what of it is `settled`; t1 and t2 name the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "t1", "t2", "low", "high", "copies"]
         kinds = [pa.int64()] * 6
         for batch in batches:
             rows: list[list] = [[] for _ in names]
-            for doc_id, t1, t2, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
+            for doc_id, t1, t2, text, repeats in zip(*(c.to_pylist() for c in batch.columns[:3]), *batch.columns[3:]):
                 own: dict[tuple[int, int], int] = {}
-                for key in keys(text.as_py()):
+                for key in keys(text.as_py(), {(r["low"], r["high"]): r["first"] for r in repeats.as_py() or []}):
                     which = name(key)
                     own[which] = own.get(which, 0) + 1
                 for (low, high), copies in own.items():
@@ -130,7 +171,10 @@ def places(docs: DataFrame, keys: Callable[[str], list[str]]) -> DataFrame:
                     rows = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
-    source = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), *text_key(F.col("text")), F.col("text").cast("string").alias("text"))
+    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    none = F.lit(None).cast("array<struct<low:bigint,high:bigint,first:boolean>>")
+    known = texts.withColumn("__quern_repeats", none) if settled is None else with_repeats(texts, settled, "left")
+    source = known.select(F.col("doc_id").cast("long").alias("id"), *text_key(F.col("text")), "text", "__quern_repeats")
     return source.mapInArrow(trimmed(run), "id long, t1 long, t2 long, low long, high long, copies long")
 
 
@@ -141,7 +185,7 @@ def with_repeats(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return docs.join(small(lists, F.size("__quern_repeats") * 40 + 60), same, how).select(*docs.columns, "__quern_repeats")
 
 
-def unequal(docs: DataFrame, lists: DataFrame, keys: Callable[[str], list[str]]) -> DataFrame:
+def unequal(docs: DataFrame, lists: DataFrame, keys: Keys) -> DataFrame:
     """(low, high) of `lists` that stand for different bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +196,7 @@ def unequal(docs: DataFrame, lists: DataFrame, keys: Callable[[str], list[str]])
             seen: set[str] = set()
             for text, repeats in zip(*batch.columns):
                 known = {(r["low"], r["high"]) for r in repeats.as_py()}
-                for key in keys(text.as_py()):
+                for key in keys(text.as_py(), {}):
                     if key in seen or (which := name(key)) not in known:
                         continue
                     seen.add(key)
@@ -169,9 +213,9 @@ def unequal(docs: DataFrame, lists: DataFrame, keys: Callable[[str], list[str]])
     return different.groupBy("low", "high").agg(F.count("*").alias("_k")).where("_k > 1").select("low", "high")
 
 
-def repeated(docs: DataFrame, keys: Callable[[str], list[str]] = chunk_keys) -> DataFrame:
+def repeated(docs: DataFrame, keys: Keys = chunk_keys, settled: DataFrame | None = None) -> DataFrame:
     """(__quern_id, __quern_t1, __quern_t2, __quern_repeats): of each document with any the `keys` that other places repeat, each (low, high, first); `first` where its own first copy stays."""
-    every = materialize(places(docs, keys), "places")
+    every = materialize(places(docs, keys, settled), "places")
     counted = every.groupBy("low", "high").agg(F.min("id").alias("keeper"), F.sum("copies").alias("n"), F.count("*").alias("rows")).where("n > 1")
     met = lookup(every.drop("copies"), counted.drop("n"), ["low", "high"], "rows", F.xxhash64("id", "t1"))
     repeat = F.struct("low", "high", F.col("id").eqNullSafe(F.col("keeper")).alias("first"))
@@ -201,29 +245,21 @@ def without_chunks(text: str, known: dict[tuple[int, int], bool]) -> tuple[str,
     return "".join(kept), removed
 
 
-def without_runs(text: str, known: dict[tuple[int, int], bool]) -> tuple[str, int]:
-    """The same for seeds, whose lines go."""
+def without_runs(text: str, chunked: dict[tuple[int, int], bool], seeded: dict[tuple[int, int], bool]) -> tuple[str, int]:
+    """The text without the lines of later copies of chunks and of seeds, and their number."""
     lines = text.split("\n")
     gone = bytearray(len(lines))
-    behind: dict[tuple[int, int], int] = {}
-    for start, end, key in seeds(text):
-        which = name(key)
-        if which not in known:
-            continue
-        if known[which] and which not in behind:
-            behind[which] = end
-            continue
-        start = max(start, behind.get(which, 0))
-        if start < end:
+    for found, known in ((passages, chunked), (seeds, seeded)):
+        for start, end in copies(found(text), known) if known else ():
             gone[start:end] = b"\1" * (end - start)
     last = len(lines) - 1
     return "".join(line + ("\n" if i < last else "") for i, line in enumerate(lines) if not gone[i]), sum(gone)
 
 
-def drop(docs: DataFrame, keys: Callable, without: Callable) -> DataFrame:
-    """`docs` with what is repeated of `keys` taken out of the texts by `without`, and n_lines_removed, instead of a column of that name."""
+def drop(docs: DataFrame, lists: DataFrame, without: Callable) -> DataFrame:
+    """`docs` with what `lists` have taken out of the texts by `without`, and n_lines_removed, instead of a column of that name."""
     docs = docs.drop("n_lines_removed")
-    joined = with_repeats(docs, repeated(docs, keys), "left")
+    joined = with_repeats(docs, lists, "left")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines_removed", T.LongType())])
     at, last = docs.columns.index("text"), len(docs.columns)
 
@@ -233,7 +269,7 @@ def drop(docs: DataFrame, keys: Callable, without: Callable) -> DataFrame:
             for text, repeats in zip(batch.column(at), batch.column(last)):
                 text, removed = text.as_py(), 0
                 if text is not None and repeats.is_valid:
-                    text, removed = without(text, {(r["low"], r["high"]): r["first"] for r in repeats.as_py()})
+                    text, removed = without(text, repeats.as_py())
                 texts.append(text)
                 counts.append(removed)
             columns = list(batch.columns[:last])
@@ -245,12 +281,22 @@ def drop(docs: DataFrame, keys: Callable, without: Callable) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """`docs` without repeated chunks, the coarser rule."""
-    return drop(docs, chunk_keys, without_chunks)
+    return drop(docs, repeated(docs), lambda text, repeats: without_chunks(text, {(r["low"], r["high"]): r["first"] for r in repeats}))
 
 
 def drop_runs(docs: DataFrame) -> DataFrame:
-    """`docs` without repeated runs of two or more lines."""
-    return drop(docs, seed_keys, without_runs)
+    """`docs` without repeated runs of two or more lines: first those of whole chunks, then what these leave of each run."""
+    chunked = repeated(docs, passage_keys)
+    seeded = repeated(docs, seed_keys, chunked)
+    # A row for each document, of both lists.
+    of = lambda lists, is_chunk: lists.withColumn("__quern_repeats", F.transform("__quern_repeats", lambda r: r.withField("chunk", F.lit(is_chunk))))
+    each = of(chunked, True).unionByName(of(seeded, False)).groupBy("__quern_id", "__quern_t1", "__quern_t2")
+    lists = materialize(each.agg(F.flatten(F.collect_list("__quern_repeats")).alias("__quern_repeats")), "lists")
+
+    def without(text: str, repeats: list[dict]) -> tuple[str, int]:
+        return without_runs(text, *({(r["low"], r["high"]): r["first"] for r in repeats if r["chunk"] == kind} for kind in (True, False)))
+
+    return drop(docs, lists, without)
 
 
 def digest(kept: DataFrame) -> DataFrame:

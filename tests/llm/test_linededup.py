@@ -80,3 +80,29 @@ def test_different_bytes_of_one_hash_stay(spark, monkeypatch):
     monkeypatch.setattr(linededup, "name", lambda key: (1, 2))
     assert [tuple(r) for r in linededup.unequal(docs, keyed, linededup.seed_keys).collect()] == [(1, 2)]
     assert {r["text"] for r in linededup.drop_runs(docs).collect()} == {"a\nb", "c\nd"}
+
+
+def test_chunks_go_first(spark, monkeypatch):
+    """The stage's copies are found by content-defined chunks; seeds name only what these leave open, and no line of a run is lost."""
+    r = random.Random(31)
+    block = [f"shared line {i} {r.random()}" for i in range(60)]
+    texts = ["\n".join([f"own {i} {k}" for k in range(i % 5)] + block[i : 60 - i] + [f"end {i}"]) + "\n" * (i % 2) for i in range(12)]
+    texts += ["\n".join(["ab", "cd"] * 20), "x\nx\nx\nx\nx\nx\nx\nx\n", "x\n", "x\n\n", "x\n\n\n", None, ""]
+    calls, whole = [], linededup.repeated
+
+    def watched(docs, keys=linededup.chunk_keys, settled=None):
+        lists = whole(docs, keys, settled)
+        calls.append((keys, settled is not None, linededup.places(docs, keys, settled).agg({"copies": "sum"}).first()[0], lists))
+        return lists
+
+    monkeypatch.setattr(linededup, "repeated", watched)
+    docs = spark.createDataFrame([(i, t, None, "own", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert got == {i: t for i, (t, _) in enumerate(plain_runs(texts)) if t}
+    assert [c[:2] for c in calls] == [(linededup.passage_keys, False), (linededup.seed_keys, True)]
+    # Which chunks repeat, by a plain count.
+    own = {i: [tuple(c.rstrip("\n").split("\n")) for c, n in linededup.chunks(t or "") if n > 1 and len(c.rstrip("\n").split("\n")) > 1 and any(map(str.isalnum, c))] for i, t in enumerate(texts[:12])}
+    count = [c for chunks in own.values() for c in chunks]
+    lists = {x["__quern_id"]: len(x["__quern_repeats"]) for x in calls[0][3].where("__quern_id < 12").collect()}
+    assert lists == {i: n for i, chunks in own.items() if (n := len({c for c in chunks if count.count(c) > 1}))} and sum(lists.values()) > 50
+    assert calls[1][2] < 0.6 * sum(len(linededup.seeds(t)) for t in texts if t)
