@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.config import PADDING
 from quern.functions.tokens import shifted, targets_count
 
 
@@ -16,6 +18,25 @@ def training_views(batches: DataFrame) -> DataFrame:
     return viewed.withColumns({"n_target1": targets_count(F.col("target1")), "n_target2": targets_count(F.col("target2"))})
 
 
+def running(tokens: pa.Array):
+    """Where each row's tokens begin, and how many it has; and of the tokens before each place their sum and how many aren't padding."""
+    import numpy as np
+
+    offsets = tokens.offsets.to_numpy().astype(np.int64)
+    values = tokens.flatten().to_numpy(zero_copy_only=False)
+    before = lambda c: np.concatenate([[0], np.cumsum(c, dtype=np.int64)])
+    return offsets[:-1] - offsets[0], np.diff(offsets), before(values), before(values != PADDING)
+
+
+FILLED = "step int, num_tokens int, n_tokens long"
+
+
+def filled(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of FILLED of batches: how many of a row's tokens aren't padding."""
+    start, size, _, real = running(batch.column("tokens"))
+    return pa.RecordBatch.from_arrays([batch.column("step"), batch.column("num_tokens"), pa.array(real[start + size] - real[start])], names=["step", "num_tokens", "n_tokens"])
+
+
 def correct(predicted: Column, target: Column) -> Column:
     """1 where a prediction meets a target that isn't padding."""
     return F.when((predicted == target) & (target != -1), 1).otherwise(0)
