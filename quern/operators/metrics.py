@@ -28,6 +28,24 @@ def running(tokens: pa.Array):
     return offsets[:-1] - offsets[0], np.diff(offsets), before(values), before(values != PADDING)
 
 
+VIEWS = "step int, n_target1 long, n_target2 long, sum_inputs long, sum_target1 long, sum_target2 long"
+
+
+def view_sums(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of VIEWS of batches: what training_views() has, summed; nothing is the sum of no tokens."""
+    import numpy as np
+
+    start, size, total, real = running(batch.column("tokens"))
+    n = np.maximum(size - 2, 0)
+
+    def over(before, by: int):
+        at = np.minimum(start + by, len(before) - 1 - n)
+        return before[at + n] - before[at]
+
+    sums = [pa.array(over(total, by), mask=n == 0) for by in (0, 1, 2)]
+    return pa.RecordBatch.from_arrays([batch.column("step"), pa.array(over(real, 1)), pa.array(over(real, 2)), *sums], names=["step", "n_target1", "n_target2", "sum_inputs", "sum_target1", "sum_target2"])
+
+
 FILLED = "step int, num_tokens int, n_tokens long"
 
 
@@ -37,6 +55,19 @@ def filled(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("step"), batch.column("num_tokens"), pa.array(real[start + size] - real[start])], names=["step", "num_tokens", "n_tokens"])
 
 
+DIGESTS = "step int, row int, is_continuation boolean, num_tokens int, sum_tokens long, tokens_md5 string"
+
+
+def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of DIGESTS of batches: the sum of a row's tokens and the MD5 of their list, with commas."""
+    import hashlib
+
+    start, size, total, _ = running(batch.column("tokens"))
+    values = batch.column("tokens").flatten().to_numpy(zero_copy_only=False)
+    sums = [hashlib.md5(",".join(map(str, values[a : a + n].tolist())).encode(), usedforsecurity=False).hexdigest() for a, n in zip(start.tolist(), size.tolist())]
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("step", "row", "is_continuation", "num_tokens")], pa.array(total[start + size] - total[start]), pa.array(sums, pa.string())], names=["step", "row", "is_continuation", "num_tokens", "sum_tokens", "tokens_md5"])
+
+
 def correct(predicted: Column, target: Column) -> Column:
     """1 where a prediction meets a target that isn't padding."""
     return F.when((predicted == target) & (target != -1), 1).otherwise(0)

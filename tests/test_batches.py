@@ -2,13 +2,25 @@
 
 import random
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import batch, pack
+from quern.operators import batch, metrics, pack
 from quern.plans import catalogue
-from tests.test_catalogue import SF
+from tests.test_catalogue import SF, rows
+
+TINY = [["a"], ["ab"], ["abc"], ["abcd", "x" * 2047], ["x" * 2050]]
+
+
+def same_as_sql(spark, folder, name, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{folder}/documents.parquet/*.parquet'")
+    got, want = catalogue.QUERIES[name](spark, str(folder)).toPandas(), con.sql(catalogue.ORACLES[name]).df()
+    assert rows(got.astype(object).where(got.notna(), None)) == rows(want.astype(object).where(want.notna(), None))
+
 
 def test_tokens_of_any_width_arrive(spark):
     r = random.Random(5)
@@ -35,8 +47,21 @@ def test_binaries_are_byte_tokens(spark):
     assert lists == bytes_
 
 
-@pytest.mark.parametrize("name", ["q29b_batches_bn"])
+@pytest.mark.parametrize("name", ["q29b_batches_bn", "q29_batches", "q33_shift_targets"])
 def test_texts_are_shuffled_as_they_are(spark, name):
     """Lists of tokens, four times as large, are made only of what a row holds."""
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan and "part#" in plan
+
+
+@pytest.mark.parametrize("texts", TINY)
+def test_targets_of_short_rows(spark, tmp_path, texts):
+    same_as_sql(spark, tmp_path, "q33_shift_targets", texts)
+
+
+def test_sums_are_those_of_the_views(spark):
+    plan = catalogue.planned_by_hash(spark, SF)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, t: a + t)
+    views = metrics.training_views(batch.assemble(plan, catalogue.tokens_of(spark, SF)))
+    want = views.select("step", "n_target1", "n_target2", total("inputs"), total("target1"), total("target2"))
+    assert sorted(map(tuple, want.collect())) == sorted(map(tuple, catalogue.q33_shift_targets(spark, SF).collect()))
